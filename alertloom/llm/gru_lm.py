@@ -16,17 +16,19 @@ from alertloom.llm.tokens import chunks, word_bounds, word_hashes
 #: Hash of the token that ends every document.
 END = 0x5DEECE66D
 #: Words that the network predicts itself, by count; others share one output and go by their counts.
-CLASSES, PER_CLASS = 48, 48
+CLASSES, PER_CLASS = 32, 32
 VOCAB = CLASSES * PER_CLASS - 1
 #: Most frequent words whose counts tasks hold: a bounded table; other words' counts come by a join.
 TOP_WORDS = 1 << 17
-HIDDEN = 24
+HIDDEN = 12
+#: Bound of a weight: 12 of them and a bias stay within what a 32-bit exponential holds.
+LARGEST = 5.0
 #: Words of a window of truncated backpropagation, texts side by side, step sizes of the first fit and of the tasks' passes.
-WINDOW, LANES, FIRST_STEP, STEP = 16, 256, 0.01, 0.003
+WINDOW, LANES, FIRST_STEP, STEP = 16, 512, 0.01, 0.004
 #: Documents of the first fit at most, and windows' batches it takes from them.
 FIRST_DOCS, FIRST_BATCHES = 2000, 400
 #: Tokens held at a time by a task.
-BLOCK_TOKENS = 600_000
+BLOCK_TOKENS = 3_000_000
 NAMES = ("emb", "wx", "wh", "b", "cls", "cls_b", "out", "out_b")
 
 
@@ -43,36 +45,65 @@ def new_model(seed: int = 1) -> dict[str, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    """In place."""
+    np.clip(x, -40, 40, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def forward(m: dict[str, np.ndarray], ids: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
-    """(states before each token's successor (T, lanes, hidden), last state, what backpropagation needs) of a window of inputs."""
+def forward(m: dict[str, np.ndarray], table: np.ndarray, ids: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list]:
+    """(states before each token's successor (T, hidden, lanes), last state, what backpropagation needs) of a window of inputs.
+
+    ``table`` holds the input's share of the gates for each word. After an end token, 0, the state is blank: a new document.
+    Lanes are the last axis, so that each gate is one stretch of memory.
+    """
     n = HIDDEN
-    x = m["emb"][ids] @ m["wx"] + m["b"]
-    out = np.empty((*ids.shape, n), np.float32)
+    xs = np.ascontiguousarray(table.take(ids.ravel(), 0).reshape(*ids.shape, 3 * n).transpose(0, 2, 1))
+    out = np.empty((len(ids), n, ids.shape[1]), np.float32)
     kept = []
+    blank = ids == 0
+    ends = blank.any(1)
+    wht = np.ascontiguousarray(m["wh"].T)
     for t in range(len(ids)):
-        h = h * (ids[t] != 0)[:, None]  # after an end token a new document starts, from a blank state
-        hw = h @ m["wh"]
-        g = sigmoid(x[t, :, : 2 * n] + hw[:, : 2 * n])
-        r, z = g[:, :n], g[:, n:]
-        c = np.tanh(x[t, :, 2 * n :] + r * hw[:, 2 * n :])
-        new = c + z * (h - c)
+        if ends[t]:
+            h = h.copy()
+            h[:, blank[t]] = 0
+        hw = wht @ h
+        g = xs[t, : 2 * n]
+        g += hw[: 2 * n]
+        sigmoid(g)
+        r, z = g[:n], g[n:]
+        c, hc = xs[t, 2 * n :], hw[2 * n :]
+        c += r * hc
+        # tanh(c) = 2 sigmoid(2 c) - 1
+        c += c
+        sigmoid(c)
+        c += c
+        c -= 1
+        new = out[t]
+        np.subtract(h, c, out=new)
+        new *= z
+        new += c
         if keep:
-            kept.append((h, r, z, c, hw[:, 2 * n :]))
-        out[t] = h = new
-    return out, h, kept
+            kept.append((h, r, z, c, hc))
+        h = new
+    return out, h.copy(), kept
+
+
+def rows(states: np.ndarray) -> np.ndarray:
+    """States as (tokens, hidden)."""
+    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def gates(m: dict[str, np.ndarray]) -> np.ndarray:
+    return m["emb"] @ m["wx"] + m["b"]
 
 
 def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(class, positions) of the targets."""
-    c = target // PER_CLASS
+    c = (target // PER_CLASS).astype(np.int16)
     order = np.argsort(c, kind="stable")
     bounds = np.searchsorted(c[order], np.arange(CLASSES + 1))
     for k in range(CLASSES):
@@ -81,56 +112,81 @@ def by_class(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def log_prob(m: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target given its state: that of its class times that in its class."""
-    out = log_softmax(h @ m["cls"] + m["cls_b"])[np.arange(len(target)), target // PER_CLASS]
+    """Natural log probability of each target given its state: that of its class times that in its class.
+
+    States are below 1 and weights are held below LARGEST, so the exponentials can't overflow.
+    """
+    x = h @ m["cls"] + m["cls_b"]
+    out = x[np.arange(len(target)), target // PER_CLASS]
+    out -= np.log(np.exp(x, out=x).sum(1))
     for k, at in by_class(target):
-        out[at] += log_softmax(h[at] @ m["out"][k] + m["out_b"][k])[np.arange(len(at)), target[at] % PER_CLASS]
+        x = h.take(at, 0) @ m["out"][k] + m["out_b"][k]
+        y = x[np.arange(len(at)), target[at] % PER_CLASS]
+        out[at] += y - np.log(np.exp(x, out=x).sum(1))
     return out
 
 
+def _softmax_error(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    x[np.arange(len(y)), y] -= 1
+    return x
+
+
 def gradients(m: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, h0: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """(gradients of the mean log loss, last state) over one window; targets of -1 don't count."""
+    """(gradients of the mean log loss, last state) over one window."""
     n = HIDDEN
-    states, last, kept = forward(m, inputs, h0, keep=True)
-    on = targets.ravel() >= 0
-    h, y = states.reshape(-1, n)[on], targets.ravel()[on]
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    total = max(len(y), 1)
-    p = np.exp(log_softmax(h @ m["cls"] + m["cls_b"]))
-    p[np.arange(len(y)), y // PER_CLASS] -= 1
-    g["cls"], g["cls_b"] = h.T @ p / total, p.sum(0) / total
-    dh_on = p @ m["cls"].T
+    states, last, kept = forward(m, gates(m), inputs, h0, keep=True)
+    h, y = rows(states), targets.ravel()
+    g = {"out": np.zeros_like(m["out"]), "out_b": np.zeros_like(m["out_b"]), "wh": np.zeros_like(m["wh"]), "emb": np.zeros_like(m["emb"])}
+    share = np.float32(1 / max(len(y), 1))
+    p = _softmax_error(h @ m["cls"] + m["cls_b"], y // PER_CLASS)
+    g["cls"], g["cls_b"] = h.T @ p * share, p.sum(0) * share
+    dstates = p @ m["cls"].T
     for k, at in by_class(y):
-        q = np.exp(log_softmax(h[at] @ m["out"][k] + m["out_b"][k]))
-        q[np.arange(len(at)), y[at] % PER_CLASS] -= 1
-        g["out"][k], g["out_b"][k] = h[at].T @ q / total, q.sum(0) / total
-        dh_on[at] += q @ m["out"][k].T
-    dstates = np.zeros((targets.size, n), np.float32)
-    dstates[on] = dh_on / total
-    dstates = dstates.reshape(states.shape)
-    dx = np.empty((*inputs.shape, 3 * n), np.float32)
-    dh = np.zeros_like(h0)
+        hk = h.take(at, 0)
+        q = _softmax_error(hk @ m["out"][k] + m["out_b"][k], y[at] % PER_CLASS)
+        g["out"][k], g["out_b"][k] = hk.T @ q * share, q.sum(0) * share
+        dstates[at] += q @ m["out"][k].T
+    dstates *= share
+    dstates = np.ascontiguousarray(dstates.reshape(*inputs.shape, n).transpose(0, 2, 1))
+    lanes = inputs.shape[1]
+    dx = np.empty((len(inputs), 3 * n, lanes), np.float32)
+    dh = np.zeros((n, lanes), np.float32)
+    dhw = np.empty((3 * n, lanes), np.float32)
+    blank = inputs == 0
+    ends = blank.any(1)
     for t in range(len(inputs) - 1, -1, -1):
         before, r, z, c, hc = kept[t]
-        dh = dh + dstates[t]
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (before - c) * z * (1 - z)
-        dr = dc * hc * r * (1 - r)
-        dx[t] = np.concatenate([dr, dz, dc], 1)
-        dhw = np.concatenate([dr, dz, dc * r], 1)
-        g["wh"] += before.T @ dhw
-        dh = (dh * z + dhw @ m["wh"].T) * (inputs[t] != 0)[:, None]
-    flat = dx.reshape(-1, 3 * n)
-    g["wx"], g["b"] = m["emb"][inputs.ravel()].T @ flat, flat.sum(0)
-    de, ids = flat @ m["wx"].T, inputs.ravel()
-    order = np.argsort(ids, kind="stable")
+        dh += dstates[t]
+        d = dx[t]
+        dr, dz, dc = d[:n], d[n : 2 * n], d[2 * n :]
+        np.subtract(1, z, out=dc)
+        np.multiply(dc, z, out=dz)
+        dz *= dh
+        dz *= before - c
+        dc *= dh
+        dc *= 1 - c * c
+        np.multiply(dc, r, out=dhw[2 * n :])
+        np.multiply(dhw[2 * n :], 1 - r, out=dr)
+        dr *= hc
+        dhw[: 2 * n] = d[: 2 * n]
+        g["wh"] += before @ dhw.T
+        dh *= z
+        dh += m["wh"] @ dhw
+        if ends[t]:
+            dh[:, blank[t]] = 0
+    flat, ids = dx.transpose(0, 2, 1).reshape(-1, 3 * n), inputs.ravel()
+    order = np.argsort(ids.astype(np.int16), kind="stable")
     heads = np.flatnonzero(np.diff(ids[order], prepend=-1))
-    g["emb"][ids[order][heads]] = np.add.reduceat(de[order], heads)
+    per = np.zeros((len(m["emb"]), 3 * n), np.float32)
+    per[ids[order][heads]] = np.add.reduceat(flat.take(order, 0), heads)
+    g["wx"], g["b"], g["emb"] = m["emb"].T @ per, per.sum(0), per @ m["wx"].T
     return g, last
 
 
 class Adam:
-    """Adam with second moments per array row where rows are sparse, and clipped gradients."""
+    """Adam with clipped gradients and bounded weights."""
 
     def __init__(self, m: dict[str, np.ndarray], step: float) -> None:
         self.m, self.step, self.t = m, step, 0
@@ -139,14 +195,21 @@ class Adam:
 
     def update(self, g: dict[str, np.ndarray]) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        norm = float(np.sqrt(sum(float(np.vdot(v, v)) for v in g.values())))
         scale = min(1.0, 1.0 / (norm + 1e-9))
-        rate = self.step * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
+        rate = float(self.step * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))
         for k, v in g.items():
-            v = v * scale
-            self.a[k] += 0.1 * (v - self.a[k])
-            self.b[k] += 0.001 * (v * v - self.b[k])
-            self.m[k] -= rate * self.a[k] / (np.sqrt(self.b[k]) + 1e-8)
+            a, b = self.a[k], self.b[k]
+            v *= scale
+            a += 0.1 * (v - a)
+            v *= v
+            b += 0.001 * (v - b)
+            np.sqrt(b, out=v)
+            v += 1e-8
+            np.divide(a, v, out=v)
+            v *= rate
+            self.m[k] -= v
+            np.clip(self.m[k], -LARGEST, LARGEST, out=self.m[k])
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,7 +233,7 @@ def train_on(m: dict[str, np.ndarray], blocks: Iterable[list[np.ndarray]], step:
     for docs in blocks:
         h = None
         for x, y in lanes_of(docs):
-            h = np.zeros((x.shape[1], HIDDEN), np.float32) if h is None else h
+            h = np.zeros((HIDDEN, x.shape[1]), np.float32) if h is None else h
             g, h = gradients(m, x, y, h)
             adam.update(g)
             seen += y.size
@@ -188,12 +251,12 @@ def score_documents(m: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
     sizes = np.array([len(d) for d in docs])
     out = np.zeros(len(docs))
     order = np.argsort(-sizes, kind="stable")
-    for lo in range(0, len(docs), 1024):
-        some = order[lo : lo + 1024]
+    table = gates(m)
+    for some in [order] if len(docs) else []:
         n = sizes[some]
         at = np.concatenate([[0], np.cumsum(n)])[:-1]
         flat = np.concatenate([docs[i] for i in some])
-        h = np.zeros((len(some), HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, len(some)), np.float32)
         prev = np.zeros(len(some), flat.dtype)
         for t in range(0, int(n[0]), WINDOW):
             live = int(np.searchsorted(-n, -t, "left"))
@@ -201,9 +264,9 @@ def score_documents(m: dict[str, np.ndarray], docs: list[np.ndarray]) -> np.ndar
             there = t + np.arange(WINDOW)[:, None] < n[:live]
             y = np.where(there, flat[np.minimum(pos, len(flat) - 1)], 0)
             x = np.concatenate([prev[None, :live], y[:-1]])
-            states, h_new, _ = forward(m, x, h[:live])
+            states, h_new, _ = forward(m, table, x, h[:, :live])
             lp = np.zeros(y.shape)
-            lp[there] = log_prob(m, states[there], y[there])
+            lp[there] = log_prob(m, rows(states)[there.ravel()], y[there])
             out[some[:live]] += lp.sum(0)
             h, prev = h_new, y[-1]
     return out
@@ -257,7 +320,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         for ids, tokens in _tokens(batches):
             held += [t for i, t in zip(ids, tokens, strict=True) if not held_out(i)]
-            if sum(map(len, held)) > 5 * BLOCK_TOKENS:
+            if sum(map(len, held)) > BLOCK_TOKENS:
                 yield flush()
                 held = []
         if held:
@@ -305,11 +368,10 @@ def train(docs: DataFrame, vocab) -> bytes:
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = new_model()
         docs = [d for block in _blocks(batches, vocab.value) for d in block]
-        if docs:
-            for _ in range(20):
-                m, _ = train_on(m, [docs], FIRST_STEP, FIRST_BATCHES)
-                if sum(map(len, docs)) * 2 >= FIRST_BATCHES * LANES * WINDOW:
-                    break
+        left = FIRST_BATCHES if docs else 0
+        while left > 0:
+            m, seen = train_on(m, [docs], FIRST_STEP, left)
+            left -= max(1, seen // (LANES * WINDOW))
         yield pa.RecordBatch.from_arrays([pa.array([_pack(m)], pa.binary())], ["m"])
 
     row = sample.mapInArrow(first, "m binary").first()

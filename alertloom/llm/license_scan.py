@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.llm.common import stash
+
 # The texts of short public licences.
 MIT = """MIT License
 
@@ -55,6 +57,21 @@ _BSD_NAME = """
 """
 LICENSES = {"MIT": MIT, "ISC": ISC, "0BSD": ZERO_BSD, "Zlib": ZLIB, "BSD-2-Clause": _BSD_HEAD + _BSD_TAIL, "BSD-3-Clause": _BSD_HEAD + _BSD_NAME + _BSD_TAIL}
 
+# Notices that name a licence by one line.
+NOTICES = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Released under the MIT License.": "MIT",
+    "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+    "Licensed under CC BY 4.0.": "CC-BY-4.0",
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0",
+    "Released under the BSD 3-Clause License.": "BSD-3-Clause",
+    "SPDX-License-Identifier: MIT": "MIT",
+    "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "SPDX-License-Identifier: GPL-3.0-only": "GPL-3.0",
+}
+
 # Spellings held equal, as in the guidelines for matching licence texts. Each is a whole word or phrase.
 SPELLINGS = {
     "acknowledgement": "acknowledgment", "analogue": "analog", "analyse": "analyze", "artefact": "artifact", "authorisation": "authorization",
@@ -72,37 +89,44 @@ COPYRIGHT_LINE = r"(?m)^[^a-zA-Z\n]*(?:[Cc]opyright|COPYRIGHT|©)(?:[ \t]*(?:\([
 
 
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, every run of other than letters and digits a single space, one spelling of each word."""
+    """Lower case, no copyright lines, every run of other than letters, digits and line ends a single space, a space at each end of
+    a line."""
     t = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), COPYRIGHT_LINE, ""))
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
+    return F.concat(F.lit(" "), F.regexp_replace(t, r" ?\n ?", " \n "), F.lit(" "))
 
 
 def spelled(text: Column) -> Column:
+    """One spelling for those held equal; most texts have none of them and pass by."""
+    one = text
     for a, b in SPELLINGS.items():
-        text = F.replace(text, F.lit(f" {a} "), F.lit(f" {b} "))
-    return text
+        one = F.replace(one, F.lit(f" {a} "), F.lit(f" {b} "))
+    return F.when(text.rlike(ANY_SPELLING), one).otherwise(text)
 
 
-def with_digest(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``digest``, the SHA-256 of the canonical text."""
-    d = df.withColumn("canonical_text", canonical(F.col(text)))
-    d = d.withColumn("canonical_text", F.when(F.col("canonical_text").rlike(ANY_SPELLING), spelled(F.col("canonical_text"))).otherwise(F.col("canonical_text")))
-    return d.withColumn("digest", F.sha2(F.trim("canonical_text"), 256)).drop("canonical_text")
+def plain(text: Column) -> Column:
+    """Words of a canonical text, one space between."""
+    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license, digest) of the known licences; two licences of one digest keep the first name."""
-    d = with_digest(spark.createDataFrame(sorted((texts or LICENSES).items()), "license string, text string"))
-    return d.groupBy("digest").agg(F.min("license").alias("license"))
+    """(license, digest) of the known licences and notices; two names of one digest keep the first."""
+    rows = [(b, a) for a, b in NOTICES.items()] + list(LICENSES.items()) if texts is None else list(texts.items())
+    d = spark.createDataFrame(sorted(rows), "license string, text string").withColumn("t", canonical(F.col("text")))
+    return d.groupBy(F.sha2(plain(spelled(F.col("t"))), 256).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
-    """Per document row: digest of its whole canonical text and the known licence of that digest, or null.
+    """Per document row: doc_id, digest of its whole canonical text, license of that digest or null, and line_licenses, the names,
+    sorted and comma-joined, of the licences whose digest is that of a whole line (null without any).
 
-    Null and empty texts have the digest of the empty text and no licence. Repeated rows are looked up one by one; an empty table
-    gives an empty result; other columns are ignored. ``licenses`` (license, digest) may be of any size; its rows join by digest.
+    Null and empty texts have the digest of the empty text and no licence. Rows that repeat a doc_id share their lines' licences; an
+    empty table gives an empty result; other columns are ignored. ``licenses`` (license, digest) may be of any size; texts and lines
+    join it by digest, and only lines that match are shuffled further where it is small.
     """
     licenses = known(docs.sparkSession) if licenses is None else licenses.groupBy("digest").agg(F.min("license").alias("license"))
-    d = with_digest(docs.select("doc_id", "text")).select("doc_id", "digest")
-    empty = F.sha2(F.lit(""), 256)
-    return d.join(licenses.filter(F.col("digest") != empty), "digest", "left").select("doc_id", "digest", "license", F.col("license").isNotNull().alias("is_license"))
+    licenses = licenses.filter(F.col("digest") != F.sha2(F.lit(""), 256))
+    d = stash(docs.select("doc_id", spelled(canonical(F.col("text"))).alias("t")).select("doc_id", F.sha2(plain(F.col("t")), 256).alias("digest"), F.transform(F.split("t", "\n"), lambda x: F.sha2(F.trim(x), 256)).alias("lines")))
+    lines = d.select("doc_id", F.explode("lines").alias("digest")).join(licenses, "digest").groupBy(F.col("doc_id").alias("k")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
+    d = d.select("doc_id", "digest").join(licenses, "digest", "left").join(lines, F.col("doc_id").eqNullSafe(F.col("k")), "left")
+    return d.select("doc_id", "digest", "license", F.col("license").isNotNull().alias("is_license"), "line_licenses")

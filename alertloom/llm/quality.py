@@ -14,15 +14,15 @@ WINDOW = 8
 FEATURES = ("word_length", "symbols", "dup_lines", "repeats")
 P = len(FEATURES)
 #: Standard deviations added (squared) to the diagonal, so that a statistic that is constant in the bulk rejects only clear departures.
-FLOORS = (0.08, 0.06, 0.12, 0.18)
+FLOORS = (0.08, 0.1, 0.12, 0.18)
 #: Statistics are rounded to this grid and summed as integers: sums don't depend on the order of rows, so reruns agree.
 GRID = 1 << 14
 #: Share of a cell's rows in the covering half-sample; 0.75 is the usual compromise between breakdown and efficiency.
 SUPPORT = 0.75
 #: Bins of a distance: equal steps of its logarithm.
 BINS_PER_E = 24
-#: chi-square quantiles at 4 degrees of freedom: 0.5, 0.75, 0.975, and 1 - 1e-7.
-CHI2_4 = {"median": 3.35669, "support": 5.38527, "reweight": 11.14329, "cutoff": 38.2}
+#: chi-square quantiles at 4 degrees of freedom: 0.5, 0.75, 0.975, and 1 - 1e-5.
+CHI2_4 = {"median": 3.35669, "support": 5.38527, "reweight": 11.14329, "cutoff": 28.47326}
 #: Cells of fewer rows take the estimate of their language, then that of all rows.
 MIN_CELL = 100
 STEPS = 6
