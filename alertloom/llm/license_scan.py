@@ -104,16 +104,16 @@ def spelled(text: Column) -> Column:
     return F.when(text.rlike(ANY_SPELLING), one).otherwise(text)
 
 
-def plain(text: Column) -> Column:
-    """Words of a canonical text, one space between."""
-    return F.trim(F.regexp_replace(text, r"[ \n]+", " "))
+def whole(text: Column) -> Column:
+    """Digest of a canonical text as one line."""
+    return F.sha2(F.trim(spelled(F.regexp_replace(text, r"[ \n]+", " "))), 256)
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """(license, digest) of the known licences and notices; two names of one digest keep the first."""
     rows = [(b, a) for a, b in NOTICES.items()] + list(LICENSES.items()) if texts is None else list(texts.items())
     d = spark.createDataFrame(sorted(rows), "license string, text string").withColumn("t", canonical(F.col("text")))
-    return d.groupBy(F.sha2(plain(spelled(F.col("t"))), 256).alias("digest")).agg(F.min("license").alias("license"))
+    return d.groupBy(whole(F.col("t")).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
@@ -126,7 +126,7 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:
     """
     licenses = known(docs.sparkSession) if licenses is None else licenses.groupBy("digest").agg(F.min("license").alias("license"))
     licenses = licenses.filter(F.col("digest") != F.sha2(F.lit(""), 256))
-    d = stash(docs.select("doc_id", spelled(canonical(F.col("text"))).alias("t")).select("doc_id", F.sha2(plain(F.col("t")), 256).alias("digest"), F.transform(F.split("t", "\n"), lambda x: F.sha2(F.trim(x), 256)).alias("lines")))
+    d = stash(docs.select("doc_id", canonical(F.col("text")).alias("t")).select("doc_id", whole(F.col("t")).alias("digest"), F.transform(F.split(spelled(F.col("t")), "\n"), lambda x: F.sha2(F.trim(x), 256)).alias("lines")))
     lines = d.select("doc_id", F.explode("lines").alias("digest")).join(licenses, "digest").groupBy(F.col("doc_id").alias("k")).agg(F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"))
     d = d.select("doc_id", "digest").join(licenses, "digest", "left").join(lines, F.col("doc_id").eqNullSafe(F.col("k")), "left")
     return d.select("doc_id", "digest", "license", F.col("license").isNotNull().alias("is_license"), "line_licenses")

@@ -34,7 +34,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(read(spark, sf_dir, "documents"))[0].select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
