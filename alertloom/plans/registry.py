@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from alertloom.plans import cube_queries, health_queries, noise_queries
+
+QUERIES: dict = noise_queries.QUERIES | cube_queries.QUERIES | health_queries.QUERIES
