@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.operators import cube
+from alertloom.operators import cube, silence
 from alertloom.operators.alerts import alerts, r6
 from alertloom.plans.noise_queries import WITH
 
@@ -102,3 +102,9 @@ SELECT max(within) AS most, arg_min(at_s, (-within, at_s)) AS from_s FROM x""")
 def onset_cluster(spark: SparkSession, sf: str) -> DataFrame:
     a = alerts(spark, sf).filter("lvl >= 12").select(F.unix_seconds("ts").alias("at_s"))
     return cube.busiest(a)
+
+
+@query(None)
+def drop_decay_tests(spark: SparkSession, sf: str) -> DataFrame:
+    s, b, p = _fitted(spark, sf)
+    return silence.tests(s.select("key1", "h", "n"), p, cube.dispersion(b, p))
