@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions import scalars as fn
-from alertloom.operators import coverage, fields, incidents, labels, pipeline, rules
+from alertloom.operators import causes, coverage, fields, incidents, labels, pipeline, rules
 from alertloom.operators.alerts import alerts, r6, table
 from alertloom.plans.noise_queries import WITH
 from alertloom.streaming import lifecycle
@@ -317,3 +317,29 @@ def process_paths(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""{WITH}, u AS (SELECT src, min(rule_id) OVER (PARTITION BY src ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r FROM a) SELECT r, count(DISTINCT src) AS hosts FROM u GROUP BY r""")
 def hosts_by_first_label(spark: SparkSession, sf: str) -> DataFrame:
     return alerts(spark, sf).withColumn("r", F.min("rule_id").over(Window.partitionBy("src"))).groupBy("r").agg(F.count_distinct("src").alias("hosts"))
+
+
+@query(f"""{WITH}, an AS (SELECT src AS host, max(s) AS start_s, CASE WHEN max(k) % 2 = 0 THEN 'drop' ELSE 'silent' END AS kind FROM a GROUP BY src), p AS (SELECT src AS host, s AS at_s FROM a WHERE lvl >= 10)
+SELECT an.host, start_s, kind, count(*) AS n, max(at_s) AS latest_s FROM an JOIN p ON p.host = an.host AND at_s BETWEEN start_s - 7200 AND start_s + 600 + CASE WHEN kind = 'drop' THEN 3600 ELSE 0 END GROUP BY ALL""")
+def tampering_precursors(spark: SparkSession, sf: str) -> DataFrame:
+    a = alerts(spark, sf)
+    gone = a.groupBy(F.col("src").alias("host")).agg(F.unix_seconds(F.max("ts")).alias("start_s"), F.when(F.max("k") % 2 == 0, "drop").otherwise("silent").alias("kind"))
+    return causes.tampering(gone, a.filter("lvl >= 10").select(F.col("src").alias("host"), F.unix_seconds("ts").alias("at_s")))
+
+
+@query(f"""{WITH}, pr AS (SELECT rule_id, src, ls, max(ts) AS t FROM a GROUP BY ALL), la AS (SELECT rule_id, max(t) AS rl FROM pr GROUP BY rule_id), lv AS (SELECT src, ls, max(ts) AS sl FROM a GROUP BY ALL)
+SELECT rule_id, epoch_us(max(rl)) // 1000000 AS last_s, count(*) FILTER (epoch_us(sl) - epoch_us(rl) > 60000000) AS live_sources, count(*) AS sources, count(*) FILTER (epoch_us(sl) - epoch_us(rl) > 60000000) > 0 AS dark FROM pr JOIN lv USING (src, ls) JOIN la USING (rule_id) GROUP BY rule_id""")
+def dark_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return causes.dark_rules(alerts(spark, sf))
+
+
+@query(f"{WITH}, r AS (SELECT event_id, rule_id, src, count(*) OVER (PARTITION BY rule_id, src ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS recent FROM a) SELECT * FROM r WHERE recent >= 3")
+def frequency_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return causes.correlated(alerts(spark, sf), 3, 86400).select("event_id", "rule_id", "src", "recent")
+
+
+@query(None)
+def scope_selection(spark: SparkSession, sf: str) -> DataFrame:
+    a = alerts(spark, sf)
+    s = a.groupBy("rule_id", F.concat(F.lit("ls:"), "ls").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.floor(F.unix_seconds("ts") / 3600)).alias("hours"))
+    return causes.select_scopes(s)
