@@ -27,6 +27,8 @@ HEXES, JOINS, KEYISH, WIDE = _table(b"0123456789abcdef"), _table(b"_-+/=."), _ta
 SETS = _table(b":=")
 
 O, B, I = range(3)  # noqa: E741
+#: Columns of ``Chunk.features`` that show digits, and those that show a keyword or an assignment, of a word or of one beside it.
+DIGITS, NAMING = 7, [13, 19, 20, 22, 23, 24, 25]
 #: Documents and windows that the field is fitted on at most, by hash of the doc_id; words of a window, passes and step.
 SAMPLE_DOCS, SAMPLE_WINDOWS, SPAN, PASSES, STEP = 4000, 6000, 24, 150, 0.08
 SCHEMA = "doc_id long, spans array<struct<kind:int,start:long,end:long>>"
@@ -207,7 +209,7 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
             x, y = c.features(), c.tags()
             row = np.repeat(np.arange(len(c.first) - 1), np.diff(c.first))
             hits = np.flatnonzero(y == B)
-            mids = np.concatenate([hits, np.arange(0, n, max(1, n // (len(hits) + 8)))])
+            mids = np.concatenate([hits, np.arange(0, n, max(1, n // (len(hits) + 64)))])
             for mid in mids:
                 lo = max(int(c.first[row[mid]]), int(mid) - SPAN // 2)
                 hi = min(int(c.first[row[mid] + 1]), lo + SPAN)
@@ -218,6 +220,11 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
     if not xs:
         return np.zeros((0, SPAN, 1), np.float32), np.zeros((0, SPAN), np.int8)
     x, y = np.stack(xs), np.stack(ys)
+    # the same spans once more without what names them: only words with digits are left of them, to be known by their shape
+    held = (y == B).any(1)
+    bare, shape = x[held].copy(), np.where((y[held] > 0) & (x[held][..., DIGITS] > 0), B, np.minimum(y[held], 0))
+    bare[..., NAMING] = 0
+    x, y = np.concatenate([x, bare]), np.concatenate([y, shape.astype(np.int8)])
     # of too many windows, all that hold a span first
     order = np.argsort(~(y == B).any(1), kind="stable")
     half = np.concatenate([order[: SAMPLE_WINDOWS // 2], order[SAMPLE_WINDOWS // 2 :][:: max(1, 2 * (len(order) - SAMPLE_WINDOWS // 2) // SAMPLE_WINDOWS)]])[:SAMPLE_WINDOWS] if len(order) > SAMPLE_WINDOWS else order
