@@ -47,6 +47,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, n: int | None = None) -> DataFrame:
-    """Deal rows evenly over at least as many tasks as the cluster runs at once."""
-    return df.repartition(n or max(df.sparkSession.sparkContext.defaultParallelism * 2, 8))
+def small(df: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """``df`` (a written table) marked for broadcast if it has at most ``most`` rows, a few longs each; else as it is, for a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+

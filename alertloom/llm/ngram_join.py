@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import stash
+from alertloom.llm.common import small, stash
 from alertloom.llm.components import components
 from alertloom.llm.tokens import chunks, mixed, word_bounds, word_hashes
 
@@ -21,6 +21,9 @@ ORDERS = 3
 LEADS = 4
 #: A token is frequent if it is counted in more documents than this and than total tokens / 2**19: at most 2**19 are, by that bound.
 FREQUENT, MOST_FREQUENT = 48, 1 << 19
+#: Bits of a parity bitmap for each token, and at least and at most; documents of a tile of postings, and postings of a task.
+BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 2, 256, 8192
+TILE, TASK_POSTS = 1024, 30_000
 #: Tokens sorted at a time while counting; those of fewer documents than LOCAL among them aren't counted.
 COUNTED, LOCAL = 3_000_000, 4
 
@@ -55,6 +58,46 @@ def prefix_length(n: int, similarity: int) -> int:
     return n + (-similarity * n) // 100 + 1
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bitmap in which each token flips one bit; its length, a power of two, goes with the number of tokens.
+
+    The bits in which two bitmaps differ are at most as many as the tokens in which the sets differ, an exact bound. A bitmap
+    folds to half its length by xor of its halves.
+    """
+    size = LEAST_BITS
+    while size < min(MOST_BITS, BITS_PER_TOKEN * len(tokens)):
+        size *= 2
+    bits = np.bincount((mixed(tokens, 55) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def close_pairs(n: np.ndarray, group: np.ndarray, bits: list[bytes], side: np.ndarray | None, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of pairs of different groups that size and bitmaps allow to be similar; from side to side if there are two."""
+    length = np.array([len(b) for b in bits])
+    for size in np.unique(length):
+        low = np.flatnonzero(length == size)
+        a = np.frombuffer(b"".join(bits[i] for i in low), np.uint64).reshape(len(low), -1)
+        high = np.flatnonzero(length == 2 * size)
+        b = np.frombuffer(b"".join(bits[i] for i in high), np.uint64).reshape(len(high), -1) if len(high) else np.zeros((0, 2 * a.shape[1]), np.uint64)
+        b = b[:, : a.shape[1]] ^ b[:, a.shape[1] :]
+        for x, y, own, other, same in ((a, a, low, low, True), (a, b, low, high, False)):
+            step = max(1, 4_000_000 // max(1, y.size))
+            for at in range(0, len(x) if len(y) else 0, step):
+                i, j = own[at : at + step, None], other[None]
+                may = (group[i] != group[j]) & (100 * np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]))
+                if same:
+                    may &= i < j
+                if side is not None:
+                    may &= side[i] != side[j]
+                r, c = np.nonzero(may)
+                for k in range(0, len(r), step_pairs := max(1, 4_000_000 // x.shape[1])):
+                    rr, cc = r[k : k + step_pairs], c[k : k + step_pairs]
+                    differ = np.bitwise_count(x[at + rr] ^ y[cc]).sum(1, dtype=np.int64)
+                    ii, jj = own[at + rr], other[cc]
+                    ok = differ * (100 + similarity) <= (n[ii] + n[jj]) * (100 - similarity)
+                    yield ii[ok], jj[ok]
+
+
 def _rows(batches: Iterable[pa.RecordBatch], n: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for lo, hi, data, offsets in chunks(batch.column("text")):
@@ -101,8 +144,13 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def verify(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are similar, from the shingles of both whole texts."""
-    text = docs.select(F.col("rep").alias("k"), "text")
+    """The pairs (a, b) of representatives that are similar, from the shingles of both whole texts.
+
+    Only the texts of paired documents are shuffled, where their ids are few enough to go to every task.
+    """
+    pairs = stash(pairs)
+    ids = stash(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
+    text = docs.join(small(ids), "rep", "left_semi").select(F.col("rep").alias("k"), "text")
     both = pairs.join(text, pairs["b"] == text["k"]).select("a", "b", F.col("text").alias("text_b"))
     both = both.join(text, both["a"] == text["k"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
@@ -128,26 +176,30 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
     by its own text. Null doc_id counts as one document larger than any other and comes back null. An empty table gives an empty result; other columns are ignored. Shingles are taken as 64-bit hashes.
 
     1. Documents of equal shingle sets are one representative, the smallest doc_id (``set_id``).
-    2. Documents that share the first token under one of LEADS orders get a link to the smallest of them, if similar: most groups
-       of copies form here, in a number of pairs that is linear in the documents.
-    3. Representatives of different groups that share a prefix token under order 1 are candidates, those that also share prefix
-       tokens under the other orders are verified. In any order similar sets share a prefix token, so no link between groups is
-       lost; pairs within a group can't change it and aren't made. Frequent tokens come last in each order, which keeps passages
-       that many documents hold out of the prefixes.
+    2. Documents that share the first token under one of LEADS orders get a link, if similar, to the one of them with the fewest
+       rare tokens, which is what others were copied from: most groups of copies form here, in a number of pairs that is linear in
+       the documents.
+    3. Representatives of different groups that share a prefix token under order 1 meet, tile by tile where a token has many. Those
+       that their sizes and parity bitmaps allow to be similar, an exact bound, are candidates; of these, those that also share
+       prefix tokens under the other orders are verified. In any order similar sets share a prefix token, so no link between
+       groups is lost; pairs within a group can't change it and aren't made. Frequent tokens come last in each order, which keeps
+       passages that many documents hold out of the prefixes.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     tokens, classes = frequent_tokens(texts, n)
     top = spark.sparkContext.broadcast((tokens, classes))
-    schema = "doc_id long, n_shingles long, set_hash binary, leads array<long>, prefix array<long>, other array<array<int>>"
+    schema = "doc_id long, n_shingles long, set_hash binary, leads array<long>, prefix array<long>, other array<array<int>>, rare long, bits binary"
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cls = top.value
         for batch, sets in _rows(batches, n):
-            hashes, leads, prefixes, others = [], [], [], []
+            hashes, leads, prefixes, others, rare, bits = [], [], [], [], [], []
             for s in sets:
                 hashes.append(np.array([len(s), mixed(s, 1).sum(dtype=np.uint64), mixed(s, 2).sum(dtype=np.uint64)], np.uint64).tobytes())
+                bits.append(parity(s).tobytes())
                 if not len(s):
+                    rare.append(0)
                     leads.append([])
                     prefixes.append([])
                     others.append([])
@@ -156,6 +208,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
                 if len(known):
                     at = np.searchsorted(known, s).clip(max=len(known) - 1)
                     late = np.where(known[at] == s, cls[at] + np.uint64(1), np.uint64(0)) << np.uint64(58)
+                rare.append(int((late == 0).sum()))
                 p = prefix_length(len(s), similarity)
                 firsts = []
                 for k in range(ORDERS):
@@ -164,7 +217,7 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
                 prefixes.append(firsts[0].view(np.int64))
                 others.append([(mixed(x, 77) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in firsts[1:]])
                 leads.append([int(mixed(s, 31 + k).min().view(np.int64)) for k in range(LEADS)])
-            arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(leads, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32())))]
+            arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(leads, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(rare, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     described = stash(texts.mapInArrow(describe, schema))
@@ -172,35 +225,51 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
     reps = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     members = stash(described.select("doc_id", "n_shingles", "set_hash").join(reps, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
     chosen = stash(members.filter("doc_id = rep and n_shingles > 0").select("rep").distinct())
-    sets = full.join(chosen, full["doc_id"] == chosen["rep"], "left_semi").withColumnRenamed("doc_id", "rep")
-    sized = sets.select("rep", F.col("n_shingles").alias("n"))
+    sets = full.join(small(chosen), full["doc_id"] == chosen["rep"], "left_semi").withColumnRenamed("doc_id", "rep")
 
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.filter((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
 
-    lead = sets.select("rep", F.col("n_shingles").alias("n"), F.posexplode("leads").alias("k", "token"))
-    first = lead.groupBy("k", "token").agg(F.min(F.struct("rep", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "token", "first")
+    lead = sets.select("rep", F.col("n_shingles").alias("n"), "rare", F.posexplode("leads").alias("k", "token"))
+    first = lead.groupBy("k", "token").agg(F.min(F.struct("rare", "rep", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "token", "first")
     stars = near(lead.join(first, ["k", "token"]).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))).filter("a <> b").select("a", "b").distinct()
-    texts = texts.withColumnRenamed("doc_id", "rep").join(chosen, "rep", "left_semi")
+    texts = texts.withColumnRenamed("doc_id", "rep").join(small(chosen), "rep", "left_semi")
     links = stash(verify(stars, texts, n, similarity))
-    group = components(links)
-
-    grouped = sets.join(group, sets["rep"] == group["id"], "left").select("rep", "n_shingles", "prefix", F.coalesce("component", "rep").alias("group"))
-    posts = grouped.select("rep", F.col("n_shingles").alias("n"), "group", F.explode("prefix").alias("token"))
-    mixed_tokens = posts.groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).filter("lo < hi").select("token")
-    posts = stash(posts.join(mixed_tokens, "token"))
-    x, y = posts.toDF("token", "a", "n_a", "group_a"), posts.toDF("token", "b", "n_b", "group_b")
-    pairs = x.join(y, (x["token"] == y["token"]) & (F.col("group_a") < F.col("group_b")) & (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b"))).select("a", "b").distinct()
+    group = components(links)  # a written table
+
+    grouped = sets.join(small(group), sets["rep"] == group["id"], "left").select("rep", F.col("n_shingles").alias("n"), "prefix", "bits", F.coalesce("component", "rep").alias("group"))
+    tokens = grouped.select("group", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"))
+    tokens = stash(tokens.filter("lo < hi").select(F.col("token").alias("t"), F.ceil(F.col("n") / TILE).alias("tiles"), "n"))
+    tasks = max(1, (tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // TASK_POSTS)
+    posts = grouped.select("rep", F.explode("prefix").alias("token")).join(small(tokens.drop("n")), F.col("token") == F.col("t"))
+    posts = posts.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    # a small token's postings go with those of others, a large one's tiles by themselves
+    posts = posts.select("rep", "token", "tile", F.when(F.col("tiles") == 1, F.pmod("token", F.lit(tasks))).otherwise(F.col("token")).alias("task"), F.least("tile", "o").alias("r"), F.greatest("tile", "o").alias("c"))
+    posts = posts.join(grouped.select("rep", "n", "group", "bits"), "rep")
+
+    def meet(t: pa.Table) -> pa.Table:
+        t = t.sort_by("token")
+        token, rep, n, grp, tile = (t[c].to_numpy() for c in ("token", "rep", "n", "group", "tile"))
+        bits = t["bits"].to_pylist()
+        cross = t["r"][0] != t["c"][0]
+        out = []
+        bounds = np.append(np.flatnonzero(np.diff(token, prepend=token[0] - 1 if token[0] > -(2**63) else token[0] + 1)), len(token))
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            for i, j in close_pairs(n[lo:hi], grp[lo:hi], bits[lo:hi], tile[lo:hi] if cross else None, similarity) if hi - lo > 1 else ():
+                a, b = rep[lo:hi][i], rep[lo:hi][j]
+                out.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    pairs = posts.groupBy("task", "r", "c").applyInArrow(meet, "a long, b long").distinct()
     other = sets.select(F.col("rep").alias("k"), "other")
     pairs = pairs.join(other, pairs["a"] == other["k"]).select("a", "b", F.col("other").alias("other_a"))
     pairs = pairs.join(other, pairs["b"] == other["k"])
     for k in range(ORDERS - 1):
         pairs = pairs.filter(F.arrays_overlap(F.col("other_a")[k], F.col("other")[k]))
-    more = stash(verify(stash(pairs.select("a", "b")), texts, n, similarity))
+    more = stash(verify(pairs.select("a", "b"), texts, n, similarity))
     groups = components(links.unionByName(more))
     out = members.join(groups, members["rep"] == groups["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("set_id"))
     null = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
     return out.select(null("doc_id"), "n_shingles", null("component_id"), null("set_id"))
 
-
-__all__ = ["join", "shingles", "prefix_length"]
