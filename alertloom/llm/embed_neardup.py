@@ -233,9 +233,4 @@ def _of_length(sound: DataFrame, dim: int) -> DataFrame:
 def _recall_of_short_lists(lists: DataFrame, links: DataFrame, v: DataFrame, n: int) -> float:
     """The audit over vectors whose lists aren't saturated: the others' links are completed by ``enlarge``."""
     full = lists.filter(F.size("list") >= LIST).filter(F.col("list")[LIST - 1]["sim"] >= THRESHOLD - 1e-4).select("id")
-    return audit(links, v, n) if not full.limit(1).count() else audit_except(links, v, n, full)
-
-
-def audit_except(links: DataFrame, v: DataFrame, n: int, full: DataFrame) -> float:
-    short = v.join(full, "id", "left_anti")
-    return audit(links, short, n)
+    return audit(links, v.join(full, "id", "left_anti"), n)

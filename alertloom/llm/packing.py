@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,5 +91,3 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
 
     return d.groupBy("shard").applyInArrow(shard, SCHEMA)
 
-
-__all__: Iterable[str] = ["best_fit", "pack", "split_pieces"]

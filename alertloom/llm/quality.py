@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import SPACE_RE, stash, unstash, words
+from alertloom.llm.common import stash, unstash, words
 
 WINDOW = 8
 #: Names of the transformed statistics, in the order of the covariance matrix.
@@ -180,5 +180,3 @@ def judge(docs: DataFrame, cutoff: float = CHI2_4["cutoff"]) -> DataFrame:
     judged = d.select(*cols, F.col("d2").alias("distance"), (F.col("d2") <= cutoff).alias("kept"))
     return judged.unionByName(stats.filter("base_failed").select(*cols, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
 
-
-__all__ = ["SPACE_RE", "base_statistics", "fit", "judge", "vectors"]

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.llm import line_dedup, mixing, ngram_join, packing, quality
-from alertloom.llm.common import read, stash
+from alertloom.llm.common import read, stash, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -32,17 +32,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of the sources: whole passes over a source repeat its documents whole, the drawn blocks of the last pass give the
     stretches of text that they hold, those that adjoin in one row."""
-    from pyspark.sql import Window
-
     places, drawn = mixing.mix(docs)
     part = drawn.groupBy("rank", "start", "epoch").agg(F.sum("n").alias("words"), F.sort_array(F.collect_list(F.struct("first", "n"))).alias("pieces"))
     part = part.withColumnsRenamed({"rank": "r", "start": "s"})
-    sized = places.filter("taken > 0").select("doc_id", "source", "size", "rank", "start")
-    rows = part.join(sized, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))).select(F.col("doc_id").alias("d"), F.col("source").alias("src"), "size", "words", "pieces", "epoch", F.row_number().over(Window.partitionBy("doc_id", "source", "size", "epoch").orderBy("s")).alias("nth"))
     # rows that repeat a doc_id are told apart by their order among their equals
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy("start"))
+    sized = places.withColumn("nth", nth).filter("taken > 0").select("doc_id", "source", "size", "rank", "start", "nth")
+    rows = part.join(sized, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))).select(F.col("doc_id").alias("d"), F.col("source").alias("src"), "size", "words", "pieces", "epoch", "nth")
     same = Window.partitionBy("doc_id", "source", "size").orderBy("text")
-    from alertloom.llm.common import words
-
     texts = docs.withColumn("size", F.size(words(F.col("text"))).cast("long")).withColumn("nth", F.row_number().over(same)).withColumnsRenamed({"size": "z", "nth": "m"})
     d = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("src")) & (F.col("z") == F.col("size")) & (F.col("m") == F.col("nth")))
     # a stretch begins where the piece before it ends elsewhere
