@@ -123,7 +123,8 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ignored. Every source's taken words are within one block of its target, and no document is taken more than three times.
     """
     places, sources = prepare(docs)
-    drawn = slots(sources).join(pieces(places), ["rank", "block"])
+    # Spark takes the slots, which come from a few rows, for a small table; they grow with the words
+    drawn = slots(sources).hint("merge").join(pieces(places), ["rank", "block"])
     taken = drawn.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
     # a document of no words can share its start with the next one
     taken = taken.withColumn("some", F.lit(True))
