@@ -19,10 +19,10 @@ WORDS, SIMILARITY = 4, 85
 ORDERS = 3
 #: Orders whose very first tokens gather documents for a first round of links.
 LEADS = 4
-#: A token is frequent if it is counted in more documents than this and than total tokens / 2**19: at most 2**19 are, by that bound.
-FREQUENT, MOST_FREQUENT = 48, 1 << 19
+#: A token is frequent if it is counted in more documents than this and than total tokens / 2**21: at most 2**21 are, by that bound.
+FREQUENT, MOST_FREQUENT = 16, 1 << 21
 #: Bits of a parity bitmap for each token, and at least and at most; documents of a tile of postings, and postings of a task.
-BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 2, 256, 8192
+BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 1, 256, 8192
 TILE, TASK_POSTS = 1024, 30_000
 #: Tokens sorted at a time while counting; those of fewer documents than LOCAL among them aren't counted.
 COUNTED, LOCAL = 3_000_000, 4
@@ -238,10 +238,10 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
     group = components(links)  # a written table
 
     grouped = sets.join(small(group), sets["rep"] == group["id"], "left").select("rep", F.col("n_shingles").alias("n"), "prefix", "bits", F.coalesce("component", "rep").alias("group"))
-    tokens = grouped.select("group", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n"))
-    tokens = stash(tokens.filter("lo < hi").select(F.col("token").alias("t"), F.ceil(F.col("n") / TILE).alias("tiles"), "n"))
+    tokens = grouped.select("group", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
+    tokens = stash(tokens.select(F.col("token").alias("t"), F.ceil(F.col("n") / TILE).alias("tiles"), "n"))
     tasks = max(1, (tokens.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // TASK_POSTS)
-    posts = grouped.select("rep", F.explode("prefix").alias("token")).join(small(tokens.drop("n")), F.col("token") == F.col("t"))
+    posts = grouped.select("rep", F.explode("prefix").alias("token")).join(small(tokens.drop("n"), 1 << 21), F.col("token") == F.col("t"))
     posts = posts.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     # a small token's postings go with those of others, a large one's tiles by themselves
     posts = posts.select("rep", "token", "tile", F.when(F.col("tiles") == 1, F.pmod("token", F.lit(tasks))).otherwise(F.col("token")).alias("task"), F.least("tile", "o").alias("r"), F.greatest("tile", "o").alias("c"))
@@ -262,7 +262,9 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     pairs = posts.groupBy("task", "r", "c").applyInArrow(meet, "a long, b long").distinct()
-    other = sets.select(F.col("rep").alias("k"), "other")
+    pairs = stash(pairs)
+    ids = stash(pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct())
+    other = sets.select(F.col("rep").alias("k"), "other").join(small(ids), "k", "left_semi")
     pairs = pairs.join(other, pairs["a"] == other["k"]).select("a", "b", F.col("other").alias("other_a"))
     pairs = pairs.join(other, pairs["b"] == other["k"])
     for k in range(ORDERS - 1):
