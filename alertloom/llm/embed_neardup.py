@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import stash, unstash
+from alertloom.llm.common import small, stash, unstash
 from alertloom.llm.components import components
 
 THRESHOLD = 0.9
@@ -163,8 +163,8 @@ def enlarge(lists: DataFrame, links: DataFrame, v: DataFrame, copies: DataFrame)
     full = lists.filter(F.size("list") >= LIST).filter(F.col("list")[LIST - 1]["sim"] >= THRESHOLD - 1e-4).select("id")
     regions = group.join(full, "id", "left_semi").select("component").distinct()
     inside = stash(group.join(regions, "component").join(v, "id").join(copies, "id"))
-    tiles = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    dealt = inside.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    tiles = stash(inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")))
+    dealt = inside.join(small(tiles), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     # each vector goes to the tasks of its tile's row and column; a task holds two tiles
     left = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     sides = left.select("component", F.col("tile").alias("r"), F.col("other").alias("c"), F.lit(True).alias("row"), "id", "v", "copies").union(left.select("component", F.col("other").alias("r"), F.col("tile").alias("c"), F.lit(False).alias("row"), "id", "v", "copies"))
