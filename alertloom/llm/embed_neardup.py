@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,6 +21,8 @@ BLOCK, TABLES = 384, 8
 LEAST_ROUNDS, MOST_ROUNDS, SETTLED = 1, 6, 0.002
 #: Vectors of the audit (by hash of the id), and the recall of their links that it asks for.
 AUDIT, RECALL = 256, 0.97
+#: Similarities in single precision are off by less than this: nearer to THRESHOLD they are computed again in doubles.
+MARGIN = 1e-4
 #: Vectors of a tile when a saturated list is enlarged.
 TILE = 1024
 ROUNDING = 12
@@ -45,114 +49,211 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
-    """(id, list): of each id, the k nearest of (id, n, sim), nearest first."""
-    kept = pairs.groupBy("id", "n").agg(F.max("sim").alias("sim"))
-    kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("sim").desc(), "n"))).filter(F.col("r") <= k)
-    return kept.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sim", "n")), asc=False).alias("list"))
-
-
-def _nearest(ids: np.ndarray, x: np.ndarray, k: int) -> pa.Table:
+    """(id, list, beside): of each id, the k nearest of (id, n, sim, beside), nearest first, and of the others those marked beside."""
+    kept = pairs.repartition("id").groupBy("id", "n").agg(F.max("sim").alias("sim"), F.max("beside").alias("beside"))
+    kept = kept.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.col("sim").desc(), "n"))).filter((F.col("r") <= k) | F.col("beside"))
+    near, other = F.when(F.col("r") <= k, F.struct("sim", "n")), F.when(F.col("r") > k, F.struct("sim", "n"))
+    return kept.groupBy("id").agg(F.sort_array(F.collect_list(near), asc=False).alias("list"), F.collect_list(other).alias("beside"))
+
+
+def places(lists: DataFrame) -> DataFrame:
+    """(id, n, sim, beside) of the lists' places."""
+    return lists.select("id", F.explode("list").alias("x")).select("id", "x.n", "x.sim", F.lit(False).alias("beside"))
+
+
+def saturated(lists: DataFrame) -> DataFrame:
+    """The ids of the lists whose last place is a link: there may be more links than places."""
+    return lists.filter(F.size("list") >= LIST).filter(F.col("list")[LIST - 1]["sim"] >= THRESHOLD - MARGIN).select("id")
+
+
+def bridges(s: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of links that join, with the known ones, all that the links in ``s`` join: fewer than vectors, whatever the
+    number of links. Pairs too near to THRESHOLD to tell go on where no other link joins them."""
+    sure = s >= THRESHOLD + MARGIN
+    maybe = (s >= THRESHOLD - MARGIN) & ~sure
+    a: list[int] = []
+    b: list[int] = []
+    if not ((sure | maybe) & ~known).any():
+        return np.array(a, np.int64), np.array(b, np.int64)
+    label = np.full(len(s), -1)
+    # from the one with the most known links first, so that few others are needed
+    for root in np.argsort(-known.sum(1), kind="stable").tolist():
+        if label[root] >= 0:
+            continue
+        label[root], todo = root, [root]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(sure[i] & (label < 0))
+            label[new] = root
+            todo += new.tolist()
+            new = new[~known[i, new]]
+            a += [i] * len(new)
+            b += new.tolist()
+    p, q = np.nonzero(np.triu(maybe, 1) & ~known & (label[:, None] != label[None]))
+    return np.append(a, p).astype(np.int64), np.append(b, q).astype(np.int64)
+
+
+PAIRS = "id long, n long, sim double, beside boolean"
+
+
+def _pairs(ids: np.ndarray, s: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> pa.Table:
+    """The pairs (a, b) as candidates for the lists, and the bridges beside them."""
+    c, d = bridges(s, known)
+    i, j = np.append(a, c), np.append(b, d)
+    return pa.table({"id": ids[i], "n": ids[j], "sim": s[i, j].astype(np.float64), "beside": np.arange(len(i)) >= len(a)})
+
+
+def _nearest(ids: np.ndarray, x: np.ndarray, g: np.ndarray, k: int) -> pa.Table:
     s = x @ x.T
-    np.fill_diagonal(s, -2)
+    s[g[:, None] == g[None]] = -2
     k = min(k, len(ids) - 1)
     if k < 1:
-        return pa.table({"id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+        return _pairs(ids, s, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(s.shape, bool))
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return pa.table({"id": np.repeat(ids, k), "n": ids[near].ravel(), "sim": np.take_along_axis(s, near, 1).ravel().astype(np.float64)})
+    a, b = np.repeat(np.arange(len(ids)), k), near.ravel()
+    ok = s[a, b] > -2
+    return _pairs(ids, s, a[ok], b[ok], np.zeros(s.shape, bool))
 
 
-def first_lists(v: DataFrame, n: int, dim: int) -> DataFrame:
+def first_lists(v: DataFrame, n: int, dim: int, seed: int = 5) -> DataFrame:
     """Neighbour lists from blocks of like signs; a block of too many vectors is dealt into several by hash."""
     bits = max(0, int(np.ceil(np.log2(max(n / BLOCK, 1)))))
-    planes = np.random.default_rng(5).standard_normal((TABLES, bits, dim))
+    planes = np.random.default_rng(seed).standard_normal((TABLES, bits, dim))
 
     def code(batches):
         for b in batches:
             x = rows_of(b.column("v"))
             codes = [((x @ planes[t].T > 0) @ (1 << np.arange(bits)) if bits else np.zeros(len(x), np.int64)) + (t << 40) for t in range(TABLES)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("v").cast(pa.list_(pa.float32())), pa.array(list(np.stack(codes, 1).astype(np.int64)), pa.list_(pa.int64()))], ["id", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("g"), b.column("v").cast(pa.list_(pa.float32())), pa.array(list(np.stack(codes, 1).astype(np.int64)), pa.list_(pa.int64()))], ["id", "g", "v", "codes"])
 
-    coded = stash(v.mapInArrow(code, "id long, v array<float>, codes array<long>").select("id", "v", F.explode("codes").alias("code")))
+    coded = stash(v.select("id", "g", "v").mapInArrow(code, "id long, g long, v array<float>, codes array<long>").select("id", "g", "v", F.explode("codes").alias("code")))
     sizes = coded.groupBy("code").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).alias("parts"))
-    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("id", "code"), F.col("parts")))
+    dealt = coded.join(sizes, "code").withColumn("part", F.pmod(F.xxhash64("id", "code", F.lit(seed)), F.col("parts")))
 
     def block(t: pa.Table) -> pa.Table:
-        return _nearest(t["id"].to_numpy(), rows_of(t["v"]), LIST)
+        return _nearest(t["id"].to_numpy(), rows_of(t["v"]), t["g"].to_numpy(), LIST)
 
-    return best(dealt.groupBy("code", "part").applyInArrow(block, "id long, n long, sim double"), LIST)
+    return dealt.groupBy("code", "part").applyInArrow(block, PAIRS)
 
 
 def refine(lists: DataFrame, v: DataFrame) -> tuple[DataFrame, int]:
     """(lists, changed places) after a local join at every vector: all pairs among its neighbours, reverse ones included.
 
-    A pair goes on only if it beats the last place of one of the two lists, so little is shuffled back.
+    A pair goes on if it beats the last place of one of the two lists, so little is shuffled back, or beside the lists if it is a
+    link between vectors that no other link of the local join connects.
     """
     edges = lists.select("id", F.explode("list").alias("x")).select("id", F.col("x.n").alias("n"))
     back = edges.select(F.col("n").alias("id"), F.col("id").alias("n"))
     back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("id", "n"), "n"))).filter(F.col("r") <= REVERSE).drop("r")
     around = edges.union(back).union(lists.select("id", F.col("id").alias("n"))).distinct().withColumnRenamed("id", "at")
     last = lists.select("id", F.when(F.size("list") >= LIST, F.col("list")[LIST - 1]["sim"]).otherwise(-2.0).alias("last"), F.transform("list", lambda x: x.n).alias("have"))
-    info = v.join(last, "id").select(F.col("id").alias("n"), F.col("v").cast("array<float>").alias("v"), "last", "have")
-    placed = around.join(info, "n").select("at", "n", "v", "last", "have")
+    info = v.join(last, "id", "left").select(F.col("id").alias("n"), "g", F.col("v").cast("array<float>").alias("v"), F.coalesce("last", F.lit(-2.0)).alias("last"), F.coalesce("have", F.array().cast("array<long>")).alias("have"))
+    placed = around.join(info, "n").select("at", "n", "g", "v", "last", "have")
 
     def local(t: pa.Table) -> pa.Table:
         ids, x, last = t["n"].to_numpy(), rows_of(t["v"]), t["last"].to_numpy()
+        g = t["g"].to_numpy()
         s = x @ x.T
-        np.fill_diagonal(s, -2)
-        a, b = np.nonzero(s > last[:, None] + 1e-7)
+        s[g[:, None] == g[None]] = -2
+        a, b = np.nonzero((s > last[:, None] + 1e-7) & (s > -2))
         known = np.zeros(s.shape, bool)
         place = {int(i): k for k, i in enumerate(ids)}
         for k, have in enumerate(t["have"].to_pylist()):
             known[k, [place[i] for i in have if i in place]] = True
         new = ~known[a, b]
         a, b = a[new], b[new]
-        return pa.table({"id": ids[a], "n": ids[b], "sim": s[a, b].astype(np.float64)})
+        return _pairs(ids, s, a, b, known | known.T)
 
-    found = placed.groupBy("at").applyInArrow(local, "id long, n long, sim double")
-    old = lists.select("id", F.explode("list").alias("x")).select("id", "x.n", "x.sim")
-    new = stash(best(old.union(found), LIST))
-    place = lambda d: d.select("id", F.explode("list").alias("x")).select("id", "x.n")
-    return new, place(new).join(place(lists), ["id", "n"], "left_anti").count()
+    found = placed.groupBy("at").applyInArrow(local, PAIRS)
+    new = stash(best(places(lists).union(found), LIST))
+    return new, places(new).join(places(lists), ["id", "n"], "left_anti").count()
 
 
 def exact_links(lists: DataFrame, v: DataFrame) -> DataFrame:
-    """(a, b), a < b: the lists' pairs whose cosine in doubles is at least THRESHOLD."""
-    near = lists.select("id", F.explode("list").alias("x")).filter(F.col("x.sim") >= THRESHOLD - 1e-4)
-    near = near.select(F.least("id", "x.n").alias("a"), F.greatest("id", "x.n").alias("b")).distinct()
-    p = near.join(v.toDF("a", "va"), "a").join(v.toDF("b", "vb"), "b")
+    """(a, b), a < b: the pairs in the lists and beside them whose cosine in doubles is at least THRESHOLD."""
+    near = places(lists).select("id", "n", "sim").union(lists.select("id", F.explode("beside").alias("x")).select("id", "x.n", "x.sim")).filter(F.col("sim") >= THRESHOLD - MARGIN)
+    near = near.groupBy(F.least("id", "n").alias("a"), F.greatest("id", "n").alias("b")).agg(F.min("sim").alias("sim"))
+    double = v.select("id", "v")
+    p = near.filter(F.col("sim") < THRESHOLD + MARGIN).join(double.toDF("a", "va"), "a").join(double.toDF("b", "vb"), "b")
 
     def keep(batches):
         for t in batches:
             s = np.einsum("ij,ij->i", rows_of(t.column("va")), rows_of(t.column("vb"))) if t.num_rows else np.zeros(0)
             yield t.select(["a", "b"]).filter(pa.array(np.round(s, ROUNDING) >= THRESHOLD))
 
-    return p.select("a", "b", "va", "vb").mapInArrow(keep, "a long, b long")
+    return near.filter(F.col("sim") >= THRESHOLD + MARGIN).select("a", "b").union(p.select("a", "b", "va", "vb").mapInArrow(keep, "a long, b long"))
+
 
+def audit(links: DataFrame, full: DataFrame, v: DataFrame, n: int) -> float:
+    """Share of the true links of AUDIT vectors, saturated or not, that are found: each is held against all vectors, in blocks.
 
-def audit(links: DataFrame, v: DataFrame, n: int) -> float:
-    """Share of the true links of AUDIT vectors that ``links`` has: each is held against all vectors, in blocks."""
+    Links inside a region that ``enlarge`` compares as a whole are found by that and aren't counted, so that a large region can't
+    cover up what others miss.
+    """
+    group = components(links)
+    inside = group.join(regions(group, full), "component", "left_semi")
+    # outside of regions every vector is by itself
+    v = v.select("id", "v").join(inside, "id", "left").select("id", "v", F.coalesce("component", "id").alias("g"))
     rate = min(1.0, AUDIT / max(n, 1))
-    asked = v.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).limit(2 * AUDIT)
-    q = asked.toArrow()
+    q = v.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).toArrow()
     if not q.num_rows:
         return 1.0
-    held = v.sparkSession.sparkContext.broadcast((q["id"].to_numpy(), rows_of(q["v"])))
+    held = v.sparkSession.sparkContext.broadcast((q["id"].to_numpy(), q["g"].to_numpy(), rows_of(q["v"])))
 
     def true(batches):
-        ids, x = held.value
+        ids, g, x = held.value
         for t in batches:
             s = np.round(rows_of(t.column("v")) @ x.T, ROUNDING)
-            a, b = np.nonzero(s >= THRESHOLD)
+            a, b = np.nonzero((s >= THRESHOLD) & (t.column("g").to_numpy()[:, None] != g[None]))
             other = t.column("id").to_numpy()[a]
-            ok = other != ids[b]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[b])[ok]), pa.array(np.maximum(other, ids[b])[ok])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[b])), pa.array(np.maximum(other, ids[b]))], ["a", "b"])
 
     truth = v.mapInArrow(true, "a long, b long").distinct()
     all_, found = truth.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("hit")).first()
     return found / all_ if all_ else 1.0
 
 
-def enlarge(lists: DataFrame, links: DataFrame, v: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
+def regions(group: DataFrame, full: DataFrame) -> DataFrame:
+    """(component) of those that hold a saturated list."""
+    return group.join(full, "id", "left_semi").select("component").distinct()
+
+
+def merge(links: DataFrame, full: DataFrame, v: DataFrame, dim: int) -> DataFrame:
+    """``links`` and those found between regions, until no regions merge.
+
+    The lists of a region's vectors may be filled by the region itself. So regions are searched again by themselves, with lists
+    that take places only outside of a vector's own region. A vector in no region has room in its list for what it links to.
+    """
+    seed = 6
+    while True:
+        group = components(links)
+        heads = stash(regions(group, full))
+        if heads.limit(2).count() < 2:
+            return links
+        apart = stash(group.join(small(heads), "component", "left_semi").join(v.select("id", "v"), "id").select("id", "v", F.col("component").alias("g")))
+        lists, more = descend(apart, apart.count(), dim, seed, lambda lists, links: False)
+        unstash(lists)
+        if not more.limit(1).count():
+            return links
+        links, seed = stash(links.union(more).distinct()), seed + 1
+
+
+def descend(v: DataFrame, n: int, dim: int, seed: int, enough: Callable[[DataFrame, DataFrame], bool]) -> tuple[DataFrame, DataFrame]:
+    """(lists, links) of (id, v, g) between vectors of different g; links that later places drive out of the lists stay."""
+    lists = stash(best(first_lists(v, n, dim, seed), LIST))
+    links = stash(exact_links(lists, v))
+    for k in range(MOST_ROUNDS):
+        new, changed = refine(lists, v)
+        more = stash(links.union(exact_links(new, v)).distinct())
+        unstash(lists)
+        unstash(links)
+        lists, links = new, more
+        if k + 1 >= LEAST_ROUNDS and (changed <= SETTLED * LIST * n or enough(lists, links)):
+            break
+    return lists, links
+
+
+def enlarge(full: DataFrame, links: DataFrame, v: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(counts of the links of every vector in a region with a saturated list, their regions).
 
     A list is saturated if its last place is a link: there may be more. Its vector's region, the component of the links found so
@@ -160,9 +261,7 @@ def enlarge(lists: DataFrame, links: DataFrame, v: DataFrame, copies: DataFrame)
     by vector, weighted by copies, not pairs.
     """
     group = components(links)
-    full = lists.filter(F.size("list") >= LIST).filter(F.col("list")[LIST - 1]["sim"] >= THRESHOLD - 1e-4).select("id")
-    regions = group.join(full, "id", "left_semi").select("component").distinct()
-    inside = stash(group.join(regions, "component").join(v, "id").join(copies, "id"))
+    inside = stash(group.join(regions(group, full), "component").join(v.select("id", "v"), "id").join(copies, "id"))
     tiles = stash(inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")))
     dealt = inside.join(small(tiles), "component").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     # each vector goes to the tasks of its tile's row and column; a task holds two tiles
@@ -211,26 +310,14 @@ def _of_length(sound: DataFrame, dim: int) -> DataFrame:
     """(id, n, component) of every usable vector of one length."""
     members = sound.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = stash(members.filter("rep is not null").select(F.col("rep").alias("id"), "v", "copies"))
-    v, copies = nodes.select("id", "v"), nodes.select("id", "copies")
+    v, copies = nodes.select("id", "v", F.col("id").alias("g")), nodes.select("id", "copies")
     n = nodes.count()
-    lists = stash(first_lists(v, n, dim))
-    links = stash(exact_links(lists, v))
-    for k in range(MOST_ROUNDS):
-        new, changed = refine(lists, v)
-        unstash(lists)
-        lists = new
-        links = stash(exact_links(lists, v))
-        if k + 1 >= LEAST_ROUNDS and (changed <= SETTLED * LIST * n or _recall_of_short_lists(lists, links, v, n) >= RECALL):
-            break
-    counts, group = enlarge(lists, links, v, copies)
+    lists, links = descend(v, n, dim, 5, lambda lists, links: audit(links, saturated(lists), v, n) >= RECALL)
+    full = saturated(lists)
+    links = merge(links, full, v, dim)
+    counts, group = enlarge(full, links, v, copies)
     both = links.union(links.select("b", "a")).toDF("id", "o").join(copies.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.sum("copies").alias("few"))
     per = nodes.select("id", "copies").join(both, "id", "left").join(counts, "id", "left").join(group, "id", "left")
     per = per.select("id", (F.coalesce("n", "few", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
     back = sound.join(nodes.select(F.col("id").alias("rep"), "v"), "v").select("id", "rep")
     return back.join(per.withColumnRenamed("id", "rep"), "rep").select("id", "n", "component")
-
-
-def _recall_of_short_lists(lists: DataFrame, links: DataFrame, v: DataFrame, n: int) -> float:
-    """The audit over vectors whose lists aren't saturated: the others' links are completed by ``enlarge``."""
-    full = lists.filter(F.size("list") >= LIST).filter(F.col("list")[LIST - 1]["sim"] >= THRESHOLD - 1e-4).select("id")
-    return audit(links, v.join(full, "id", "left_anti"), n)

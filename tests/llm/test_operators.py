@@ -108,6 +108,24 @@ def test_near_dups_against_all_pairs(spark):
     assert embed_neardup.near_dups(df.limit(0)).count() == 0
 
 
+def test_near_dups_of_dense_groups_that_only_link_across(spark, rng=np.random.default_rng(4)):
+    # pairs of groups of 30, inside at about 0.99, across at about 0.92, beside lone vectors
+    x = [rng.standard_normal((40, 24))]
+    for _ in range(4):
+        a, b = np.linalg.qr(rng.standard_normal((24, 2)))[0].T
+        for centre in (a, 0.93 * a + math.sqrt(1 - 0.93**2) * b):
+            x.append(centre + 0.018 * rng.standard_normal((30, 24)))
+    x = np.concatenate(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = np.round(u @ u.T, 12) >= 0.9
+    np.fill_diagonal(hit, False)
+    comp = groups(range(len(x)), zip(*np.nonzero(hit), strict=True))
+    assert max(Counter(comp.values()).values()) >= 60 and (np.argsort(-u @ u.T, axis=1)[40:70, 1:11] < 70).all()
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in plain(embed_neardup.near_dups(df))}
+    assert got == {i: (int(hit[i].sum()), comp[i]) for i in range(len(x))}
+
+
 # licences
 
 
