@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import warnings
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +17,13 @@ THRESHOLD = 0.9
 LIST, REVERSE = 10, 10
 #: The first lists: the nearest in blocks of about BLOCK vectors that share the signs of random projections, in so many tables.
 BLOCK, TABLES = 384, 8
-#: Rounds of refinement at least and at most; they end when fewer than SETTLED of the lists' places change and the audit is passed.
+#: Rounds of refinement at least and at most in a search; they end when fewer than SETTLED of the lists' places change.
 LEAST_ROUNDS, MOST_ROUNDS, SETTLED = 1, 6, 0.002
-#: Vectors of the audit (by hash of the id), and the recall of their links that it asks for.
-AUDIT, RECALL = 256, 0.97
+#: Vectors of the audit (by hash of the id) at first, and at most where their true links are fewer than AUDIT_LINKS.
+AUDIT, MOST_AUDIT, AUDIT_LINKS = 256, 16_384, 200
+#: The recall of their links that the audit asks for, the one under which there is no result, and searches at most, each with tables
+#: of its own. A search is the last one if it has settled and the audit is passed.
+RECALL, LEAST_RECALL, MOST_SEARCHES = 0.97, 0.9, 5
 #: Similarities in single precision are off by less than this: nearer to THRESHOLD they are computed again in doubles.
 MARGIN = 1e-4
 #: Vectors of a tile when a saturated list is enlarged.
@@ -184,33 +187,50 @@ def exact_links(lists: DataFrame, v: DataFrame) -> DataFrame:
     return near.filter(F.col("sim") >= THRESHOLD + MARGIN).select("a", "b").union(p.select("a", "b", "va", "vb").mapInArrow(keep, "a long, b long"))
 
 
-def audit(links: DataFrame, full: DataFrame, v: DataFrame, n: int) -> float:
-    """Share of the true links of AUDIT vectors, saturated or not, that are found: each is held against all vectors, in blocks.
+def audit(links: DataFrame, full: DataFrame, v: DataFrame, n: int) -> tuple[float, bool]:
+    """(share of the true links of some vectors, saturated or not, that are found, whether these were enough to tell).
 
-    Links inside a region that ``enlarge`` compares as a whole are found by that and aren't counted, so that a large region can't
-    cover up what others miss.
+    Each is held against all vectors, in blocks. Vectors are drawn until they have AUDIT_LINKS true links, or all are. Links inside a
+    region that ``enlarge`` compares as a whole are found by that and aren't counted, so that a large region can't cover up what
+    others miss.
     """
     group = components(links)
     inside = group.join(regions(group, full), "component", "left_semi")
     # outside of regions every vector is by itself
-    v = v.select("id", "v").join(inside, "id", "left").select("id", "v", F.coalesce("component", "id").alias("g"))
-    rate = min(1.0, AUDIT / max(n, 1))
-    q = v.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).toArrow()
+    v = stash(v.select("id", "v").join(inside, "id", "left").select("id", "v", F.coalesce("component", "id").alias("g")))
+    all_ = found = 0
+    low, size = 0, 1 << 30
+    share = AUDIT / max(n, 1)
+    while all_ < AUDIT_LINKS and low < size and share * n <= MOST_AUDIT:
+        high = min(size, int(share * size) + 1)
+        drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(size))
+        more = _held_against(v.filter((drawn >= low) & (drawn < high)), links, v)
+        all_, found = all_ + more[0], found + more[1]
+        low, share = high, 4 * share
+    unstash(v)
+    return found / all_ if all_ else 1.0, all_ >= AUDIT_LINKS or low >= size
+
+
+def _held_against(asked: DataFrame, links: DataFrame, v: DataFrame) -> tuple[int, int]:
+    """(true links of each vector asked with vectors of another g, those of them that ``links`` has)."""
+    q = asked.toArrow()
     if not q.num_rows:
-        return 1.0
+        return 0, 0
     held = v.sparkSession.sparkContext.broadcast((q["id"].to_numpy(), q["g"].to_numpy(), rows_of(q["v"])))
 
     def true(batches):
         ids, g, x = held.value
         for t in batches:
-            s = np.round(rows_of(t.column("v")) @ x.T, ROUNDING)
-            a, b = np.nonzero((s >= THRESHOLD) & (t.column("g").to_numpy()[:, None] != g[None]))
-            other = t.column("id").to_numpy()[a]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, ids[b])), pa.array(np.maximum(other, ids[b]))], ["a", "b"])
+            y, own, other = rows_of(t.column("v")), t.column("g").to_numpy(), t.column("id").to_numpy()
+            for k in range(0, len(ids), 512):
+                at = slice(k, k + 512)
+                s = np.round(y @ x[at].T, ROUNDING)
+                a, b = np.nonzero((s >= THRESHOLD) & (own[:, None] != g[at][None]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other[a], ids[at][b])), pa.array(np.maximum(other[a], ids[at][b]))], ["a", "b"])
 
-    truth = v.mapInArrow(true, "a long, b long").distinct()
-    all_, found = truth.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("hit")).first()
-    return found / all_ if all_ else 1.0
+    # a link between two vectors asked counts for both
+    truth = v.mapInArrow(true, "a long, b long")
+    return tuple(truth.join(links.select("a", "b", F.lit(1).alias("hit")), ["a", "b"], "left").agg(F.count(F.lit(1)), F.count("hit")).first())
 
 
 def regions(group: DataFrame, full: DataFrame) -> DataFrame:
@@ -218,39 +238,67 @@ def regions(group: DataFrame, full: DataFrame) -> DataFrame:
     return group.join(full, "id", "left_semi").select("component").distinct()
 
 
-def merge(links: DataFrame, full: DataFrame, v: DataFrame, dim: int) -> DataFrame:
+def merge(links: DataFrame, full: DataFrame, v: DataFrame, dim: int, seed: int) -> DataFrame:
     """``links`` and those found between regions, until no regions merge.
 
     The lists of a region's vectors may be filled by the region itself. So regions are searched again by themselves, with lists
     that take places only outside of a vector's own region. A vector in no region has room in its list for what it links to.
     """
-    seed = 6
     while True:
         group = components(links)
         heads = stash(regions(group, full))
         if heads.limit(2).count() < 2:
             return links
         apart = stash(group.join(small(heads), "component", "left_semi").join(v.select("id", "v"), "id").select("id", "v", F.col("component").alias("g")))
-        lists, more = descend(apart, apart.count(), dim, seed, lambda lists, links: False)
+        lists, more, _ = descend(apart, apart.count(), dim, seed)
         unstash(lists)
         if not more.limit(1).count():
             return links
         links, seed = stash(links.union(more).distinct()), seed + 1
 
 
-def descend(v: DataFrame, n: int, dim: int, seed: int, enough: Callable[[DataFrame, DataFrame], bool]) -> tuple[DataFrame, DataFrame]:
-    """(lists, links) of (id, v, g) between vectors of different g; links that later places drive out of the lists stay."""
-    lists = stash(best(first_lists(v, n, dim, seed), LIST))
-    links = stash(exact_links(lists, v))
+def descend(v: DataFrame, n: int, dim: int, seed: int, lists: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """(lists, links, whether the lists have settled) of (id, v, g) between vectors of different g, from new tables and the lists and
+    links found before, if any; links that later places drive out of the lists stay."""
+    first = first_lists(v, n, dim, seed)
+    lists = stash(best(first if lists is None else first.union(places(lists)), LIST))
+    found = exact_links(lists, v)
+    links = stash(found if links is None else links.union(found).distinct())
+    settled = False
     for k in range(MOST_ROUNDS):
         new, changed = refine(lists, v)
         more = stash(links.union(exact_links(new, v)).distinct())
         unstash(lists)
         unstash(links)
         lists, links = new, more
-        if k + 1 >= LEAST_ROUNDS and (changed <= SETTLED * LIST * n or enough(lists, links)):
+        settled = changed <= SETTLED * LIST * n
+        if k + 1 >= LEAST_ROUNDS and settled:
             break
-    return lists, links
+    return lists, links, settled
+
+
+def search(v: DataFrame, n: int, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(links, ids of saturated lists), after as many searches as it takes to settle and to pass the audit.
+
+    Where even MOST_AUDIT vectors have fewer than AUDIT_LINKS true links, a search with other tables must also find no new link. After
+    MOST_SEARCHES a recall under LEAST_RECALL is an error, and anything else that is still open a warning.
+    """
+    lists = links = None
+    before = -1
+    for k in range(MOST_SEARCHES):
+        lists, links, settled = descend(v, n, dim, 5 + 100 * k, lists, links)
+        full = saturated(lists)
+        links = merge(links, full, v, dim, 6 + 100 * k)
+        recall, told = audit(links, full, v, n)
+        now = links.count()
+        told = told or now == before
+        if settled and told and recall >= RECALL:
+            return links, full
+        before = now
+    if recall < LEAST_RECALL:
+        raise RuntimeError(f"near-duplicate links have a recall of {recall:.3f} after {MOST_SEARCHES} searches")
+    warnings.warn(f"near-duplicate links after {MOST_SEARCHES} searches: recall {recall:.3f}, settled {settled}, enough links to tell {told}", stacklevel=2)
+    return links, full
 
 
 def enlarge(full: DataFrame, links: DataFrame, v: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -287,7 +335,8 @@ def near_dups(vectors: DataFrame) -> DataFrame:
     are copies of one vector if equal; each counts as a link to the others. An empty table gives an empty result; other columns,
     labels among them, are ignored.
 
-    The graph is approximate: links may be missing, none is false. The audit measures recall and asks for more rounds until RECALL.
+    The graph is approximate: links may be missing, none is false. The audit measures recall, and searches with other tables
+    follow until it is RECALL and the lists have settled; under LEAST_RECALL there is an error, no result.
     """
     raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = stash(usable(raw))
@@ -312,9 +361,7 @@ def _of_length(sound: DataFrame, dim: int) -> DataFrame:
     nodes = stash(members.filter("rep is not null").select(F.col("rep").alias("id"), "v", "copies"))
     v, copies = nodes.select("id", "v", F.col("id").alias("g")), nodes.select("id", "copies")
     n = nodes.count()
-    lists, links = descend(v, n, dim, 5, lambda lists, links: audit(links, saturated(lists), v, n) >= RECALL)
-    full = saturated(lists)
-    links = merge(links, full, v, dim)
+    links, full = search(v, n, dim)
     counts, group = enlarge(full, links, v, copies)
     both = links.union(links.select("b", "a")).toDF("id", "o").join(copies.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.sum("copies").alias("few"))
     per = nodes.select("id", "copies").join(both, "id", "left").join(counts, "id", "left").join(group, "id", "left")

@@ -126,6 +126,21 @@ def test_near_dups_of_dense_groups_that_only_link_across(spark, rng=np.random.de
     assert got == {i: (int(hit[i].sum()), comp[i]) for i in range(len(x))}
 
 
+def test_near_dups_search_until_the_audit_is_passed(spark, monkeypatch, rng=np.random.default_rng(7)):
+    # blocks of two to four vectors place most of them badly, and lists count as settled whatever changes
+    base = rng.standard_normal((300, 16))
+    x = np.concatenate([base, base[:60] + 0.1 * rng.standard_normal((60, 16))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {(a, b) for a, b in zip(*np.nonzero(np.round(u @ u.T, 12) >= 0.9), strict=True) if a < b}
+    for name, value in {"BLOCK": 2, "TABLES": 1, "LIST": 2, "REVERSE": 1, "SETTLED": 1.0, "MOST_SEARCHES": 60}.items():
+        monkeypatch.setattr(embed_neardup, name, value)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    assert sum(r["n_links"] for r in plain(embed_neardup.near_dups(df))) >= 2 * 0.97 * len(true)
+    monkeypatch.setattr(embed_neardup, "MOST_SEARCHES", 1)
+    with pytest.raises(RuntimeError, match="recall"):
+        embed_neardup.near_dups(df)
+
+
 # licences
 
 
