@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
-from tests.llm.test_operators import WORD, plain
+from tests.llm.test_operators import LOW, WORD, groups, plain
 
 
 def test_stages_take_effect(spark, docs, sf):
@@ -20,6 +22,26 @@ def test_stages_take_effect(spark, docs, sf):
     assert sum(r["size"] for r in plain(bins)) == taken
 
 
+def test_near_duplicates_against_all_pairs(spark, sf):
+    r = random.Random(11)
+    vocab = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(12):
+        w = r.choices(vocab, k=r.randint(60, 160))
+        # copies cut or appended to by 10 to 30 hundredths, and one with words changed
+        texts += [w, w[: len(w) * r.randint(81, 84) // 100], w + r.choices(vocab, k=len(w) * r.randint(19, 23) // 100), w[: len(w) * r.randint(70, 79) // 100], [*w[:20], "other", *w[21:]]]
+    texts += [["too", "short"], ["too", "short"], ["Too", "short", "one"]]
+    r.shuffle(texts)
+    d = spark.createDataFrame([(i, " ".join(t), "en", "web", len(" ".join(t))) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    low = [[x.translate(LOW) for x in t] for t in texts]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} or {tuple(t)} for t in low]
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(sets)) for b in range(a)}
+    assert sum(0.80 <= x < 0.85 for x in share.values()) >= 10
+    want = groups(range(len(sets)), [p for p, x in share.items() if 100 * len(sets[p[0]] & sets[p[1]]) >= 80 * len(sets[p[0]] | sets[p[1]])])
+    got = {row["doc_id"] for row in plain(corpus_pipeline.one_of_each_group(spark, d, sf))}
+    assert got == set(want.values())
+
+
 def test_stages_on_an_empty_table(spark, no_docs, sf):
     d = no_docs.select(corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
