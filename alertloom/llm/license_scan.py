@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.llm.common import stash
+from alertloom.llm.license_table import DIGESTS, IDENTIFIERS
 
 # The texts of short public licences.
 MIT = """MIT License
@@ -110,10 +111,15 @@ def whole(text: Column) -> Column:
 
 
 def known(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(license, digest) of the known licences and notices; two names of one digest keep the first."""
+    """(license, digest) of the known licences and notices, SPDX lines of all identifiers and long texts by digest among them; two
+    names of one digest keep the first, those of NOTICES before others."""
     rows = [(b, a) for a, b in NOTICES.items()] + list(LICENSES.items()) if texts is None else list(texts.items())
-    d = spark.createDataFrame(sorted(rows), "license string, text string").withColumn("t", canonical(F.col("text")))
-    return d.groupBy(whole(F.col("t")).alias("digest")).agg(F.min("license").alias("license"))
+    lines = [(x, f"SPDX-License-Identifier: {x}") for x in IDENTIFIERS] if texts is None else []
+    ranked = [(*x, 0) for x in sorted(rows)] + [(*x, 1) for x in lines]
+    d = spark.createDataFrame(ranked, "license string, text string, rank int").withColumn("t", canonical(F.col("text"))).select("license", "rank", whole(F.col("t")).alias("digest"))
+    if texts is None:
+        d = d.union(spark.createDataFrame([(n, 1, g) for n, g in DIGESTS], "license string, rank int, digest string"))
+    return d.groupBy("digest").agg(F.min(F.struct("rank", "license"))["license"].alias("license"))
 
 
 def scan(docs: DataFrame, licenses: DataFrame | None = None) -> DataFrame:

@@ -154,6 +154,21 @@ def test_license_scan(spark, docs):
     assert len({r["digest"] for r in plain(license_scan.known(spark))}) >= 12
 
 
+def test_long_licenses_and_all_identifiers(spark):
+    place = "/usr/share/common-licenses/"
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for f, n in names.items():
+        with open(place + f, encoding="utf-8") as file:
+            rows.append((n, file.read()))
+    rows += [(None, rows[0][1] + " and more")]
+    lines = {"BSD-3-Clause": "BSD-3-Clause", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-3.0-only": "GPL-3.0", "Unlicense": "Unlicense", "No-Such": None}
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)] + [(100 + i, f"// SPDX-License-Identifier: {x}\nint x;") for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in plain(license_scan.scan(df))}
+    assert [got[i]["license"] for i in range(len(rows))] == [n for n, _ in rows]
+    assert [got[100 + i]["line_licenses"] for i in range(len(lines))] == list(lines.values())
+
+
 # quality
 
 
