@@ -21,7 +21,7 @@ MIN_POINTS = 10
 SHARD_LINES = 200_000
 MIN_SHARDS = 64
 #: Keys found in more lines than total / HOT_KEYS (and HOT_LEAST) are hot: at most HOT_KEYS of them, so that their index, of
-#: under 25 bytes a key, has a proven bound and is broadcast.
+#: under 35 bytes a key, has a proven bound and is broadcast.
 HOT_KEYS = 65_536
 HOT_LEAST = 512
 #: Bits of a level of the perfect hash per key that reaches it.
@@ -81,7 +81,7 @@ class PerfectHash:
 
 
 class LineIndex:
-    """Arrays of one shard by slot: 32-bit fingerprint, document count (up to 255), and for counts over 1 the keeping document."""
+    """Arrays of one shard by slot, asked only for lines that it was built from: 32-bit fingerprint, document count (up to 255), and for counts over 1 the keeping document."""
 
     def __init__(self, phf: PerfectHash, fingerprints: np.ndarray, counts: np.ndarray, keepers: np.ndarray) -> None:
         self.phf, self.fingerprints, self.counts, self.keepers = phf, fingerprints, counts, keepers
@@ -118,6 +118,22 @@ class LineIndex:
         return count, keeper
 
 
+class HotIndex:
+    """A line index that strangers may ask: it holds the hashes too, so that all 96 bits of a line must agree."""
+
+    def __init__(self, index: LineIndex, h: np.ndarray, f: np.ndarray) -> None:
+        self.index, self.h = index, np.zeros(len(h), np.int64)
+        self.h[index.phf.slots(joined(h, f))] = h
+
+    def probe(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(count, keeper) of each line; count 0 where it isn't in the index."""
+        count, keeper = self.index.probe(h, f)
+        at = self.index.phf.slots(joined(h, f))
+        own = (at >= 0) & (count > 0)
+        own[own] = self.h[at[own]] == h[own]
+        return np.where(own, count, 0), np.where(own, keeper, NO_DOC)
+
+
 def joined(h: np.ndarray, f: np.ndarray) -> np.ndarray:
     return h.astype(np.int64).view(np.uint64) + f.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
 
@@ -172,7 +188,7 @@ def _build(table: pa.Table) -> pa.Table:
 DROPS = "doc_id long, text_hash long, pos int"
 
 
-def _dropped(index: LineIndex, table: pa.Table) -> pa.Table:
+def _dropped(index: LineIndex | HotIndex, table: pa.Table) -> pa.Table:
     """The lines of ``table`` that other, smaller documents keep."""
     _, keeper = index.probe(table["h"].to_numpy(), table["f"].to_numpy())
     mine = table["doc_id"].fill_null(NO_DOC).to_numpy()
@@ -207,7 +223,7 @@ def build_index(hashes: DataFrame) -> tuple[DataFrame, int, Broadcast, int]:
     least = max(HOT_LEAST, total // HOT_KEYS + 1)
     n_shards = max(MIN_SHARDS, total // SHARD_LINES + 1)
     hot = keys.filter(F.col("lines") >= least).toArrow()
-    hot_index = _index_of(hot)
+    hot_index = HotIndex(_index_of(hot), hot["h"].to_numpy(), hot["f"].to_numpy())
     index = keys.select(F.pmod("h", F.lit(n_shards)).alias("shard"), "h", "f", "lo", "hi", "n").groupBy("shard").applyInArrow(_build, INDEX)
     return stash(index), n_shards, spark.sparkContext.broadcast(hot_index), least
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import small, stash
+from alertloom.llm.common import join_per_key, small, stash
 from alertloom.llm.components import components
 from alertloom.llm.tokens import chunks, mixed, word_bounds, word_hashes
 
@@ -23,7 +23,7 @@ LEADS = 4
 FREQUENT, MOST_FREQUENT = 16, 1 << 21
 #: Bits of a parity bitmap for each token, and at least and at most; documents of a tile of postings, and postings of a task.
 BITS_PER_TOKEN, LEAST_BITS, MOST_BITS = 1, 256, 8192
-TILE, TASK_POSTS = 1024, 30_000
+TILE, TASK_POSTS = 1024, 4000
 #: Tokens sorted at a time while counting; those of fewer documents than LOCAL among them aren't counted.
 COUNTED, LOCAL = 3_000_000, 4
 
@@ -143,14 +143,14 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFrame:
-    """The pairs (a, b) of representatives that are similar, from the shingles of both whole texts.
+def verify(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar, from the shingles of both whole texts.
 
     Only the texts of paired documents are shuffled, where their ids are few enough to go to every task.
     """
     pairs = stash(pairs)
-    ids = stash(pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct())
-    text = docs.join(small(ids), "rep", "left_semi").select(F.col("rep").alias("k"), "text")
+    ids = stash(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    text = texts.join(small(ids), "node", "left_semi").select(F.col("node").alias("k"), "text")
     both = pairs.join(text, pairs["b"] == text["k"]).select("a", "b", F.col("text").alias("text_b"))
     both = both.join(text, both["a"] == text["k"]).select("a", "b", F.col("text").alias("text_a"), "text_b")
 
@@ -169,11 +169,12 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, similarity: int) -> DataFr
 
 
 def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, set_id) of every document: its group under the links of Jaccard similarity.
+    """(doc_id, n_shingles, component_id, set_id, group_id, text_hash) of every document: its group under the links of Jaccard similarity.
 
     Words are runs of other than ASCII whitespace, A-Z as a-z. A document of fewer than ``n`` words has its whole sequence as one
     shingle; null, empty and blank texts have none and link with nothing. Rows that repeat a doc_id are grouped one by one, each
-    by its own text. Null doc_id counts as one document larger than any other and comes back null. An empty table gives an empty result; other columns are ignored. Shingles are taken as 64-bit hashes.
+    by its own text: ``group_id`` tells their groups apart, which may have one smallest doc_id, and ``text_hash`` (xxhash64) tells the rows
+    of other texts apart. Null doc_id counts as one document larger than any other and comes back null. An empty table gives an empty result; other columns are ignored. Shingles are taken as 64-bit hashes.
 
     1. Documents of equal shingle sets are one representative, the smallest doc_id (``set_id``).
     2. Documents that share the first token under one of LEADS orders get a link, if similar, to the one of them with the fewest
@@ -186,10 +187,10 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
        passages that many documents hold out of the prefixes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     tokens, classes = frequent_tokens(texts, n)
     top = spark.sparkContext.broadcast((tokens, classes))
-    schema = "doc_id long, n_shingles long, set_hash binary, leads array<long>, prefix array<long>, other array<array<int>>, rare long, bits binary"
+    schema = "doc_id long, text_hash long, n_shingles long, set_hash binary, leads array<long>, prefix array<long>, other array<array<int>>, rare long, bits binary"
 
     def describe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, cls = top.value
@@ -217,23 +218,31 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
                 prefixes.append(firsts[0].view(np.int64))
                 others.append([(mixed(x, 77) >> np.uint64(32)).astype(np.uint32).view(np.int32) for x in firsts[1:]])
                 leads.append([int(mixed(s, 31 + k).min().view(np.int64)) for k in range(LEADS)])
-            arrays = [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(leads, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(rare, pa.int64()), pa.array(bits, pa.binary())]
+            arrays = [batch.column("doc_id"), batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(hashes, pa.binary()), pa.array(leads, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.list_(pa.int32()))), pa.array(rare, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
 
     described = stash(texts.mapInArrow(describe, schema))
-    full = described.filter("n_shingles > 0")
-    reps = full.groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    members = stash(described.select("doc_id", "n_shingles", "set_hash").join(reps, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    chosen = stash(members.filter("doc_id = rep and n_shingles > 0").select("rep").distinct())
-    sets = full.join(small(chosen), full["doc_id"] == chosen["rep"], "left_semi").withColumnRenamed("doc_id", "rep")
+    # a document's node is its doc_id, but for ids of several texts, where it is a hash of both
+    torn = stash(described.groupBy(F.col("doc_id").alias("torn")).agg(F.min("text_hash").alias("lo"), F.max("text_hash").alias("hi")).filter("lo < hi").select("torn"))
+    node = F.when(F.col("torn").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text_hash"))
+    noded = lambda d: d.join(small(torn), d["doc_id"] == torn["torn"], "left").withColumn("node", node).drop("torn")
+    rows = noded(described)
+    full = rows.filter("n_shingles > 0")
+    reps = stash(full.groupBy("set_hash").agg(F.min(F.struct("doc_id", "node")).alias("rep"), F.count(F.lit(1)).alias("many")))
+    own = rows.select("doc_id", "text_hash", "n_shingles", "set_hash", "node")
+    members = join_per_key(own.filter("n_shingles > 0"), reps.filter("many > 1").select("set_hash", "rep", "many"), ["set_hash"]).select("doc_id", "text_hash", "n_shingles", "node", F.col("rep.node").alias("rep"), F.col("rep.doc_id").alias("set_id"))
+    # sets of one document aren't joined
+    members = stash(members)
+    copies = stash(members.filter("node <> rep").select("node").distinct())
+    sets = full.join(small(copies), "node", "left_anti").drop("doc_id").withColumnRenamed("node", "rep")
 
     def near(pairs: DataFrame) -> DataFrame:
         return pairs.filter((100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")))
 
     lead = sets.select("rep", F.col("n_shingles").alias("n"), "rare", F.posexplode("leads").alias("k", "token"))
-    first = lead.groupBy("k", "token").agg(F.min(F.struct("rare", "rep", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "token", "first")
-    stars = near(lead.join(first, ["k", "token"]).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))).filter("a <> b").select("a", "b").distinct()
-    texts = texts.withColumnRenamed("doc_id", "rep").join(small(chosen), "rep", "left_semi")
+    first = stash(lead.groupBy("k", "token").agg(F.min(F.struct("rare", "rep", "n")).alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1").select("k", "token", "first", "many"))
+    stars = near(join_per_key(lead, first, ["k", "token"]).select(F.col("first.rep").alias("a"), F.col("rep").alias("b"), F.col("first.n").alias("n_a"), F.col("n").alias("n_b"))).filter("a <> b").select("a", "b").distinct()
+    texts = noded(texts).select("node", "text")
     links = stash(verify(stars, texts, n, similarity))
     group = components(links)  # a written table
 
@@ -271,7 +280,11 @@ def join(docs: DataFrame, n: int = WORDS, similarity: int = SIMILARITY) -> DataF
         pairs = pairs.filter(F.arrays_overlap(F.col("other_a")[k], F.col("other")[k]))
     more = stash(verify(pairs.select("a", "b"), texts, n, similarity))
     groups = components(links.unionByName(more))
-    out = members.join(groups, members["rep"] == groups["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"), F.col("rep").alias("set_id"))
+    # a group's smallest doc_id; nodes are doc_ids where none is torn
+    named = groups.select(F.col("id").alias("rep"), F.col("component").alias("group_id"))
+    heads = rows.select(F.col("node").alias("rep"), "doc_id").join(named, "rep").groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    named = stash(named.join(heads, "group_id"))
+    out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(members.select("node", "rep", "set_id").distinct(), "node", "left").withColumns({"rep": F.coalesce("rep", "node"), "set_id": F.coalesce("set_id", "doc_id")})
+    out = out.join(named, "rep", "left").withColumns({"component_id": F.coalesce("component_id", "set_id"), "group_id": F.coalesce("group_id", "rep")})
     null = lambda c: F.when(F.col(c) < 2**63 - 1, F.col(c)).alias(c)
-    return out.select(null("doc_id"), "n_shingles", null("component_id"), null("set_id"))
-
+    return out.select(null("doc_id"), "n_shingles", null("component_id"), null("set_id"), "group_id", "text_hash")

@@ -92,7 +92,7 @@ rounds AS (SELECT rank, n, x, key, 1::BIGINT AS r FROM start UNION ALL SELECT ra
 drawn AS (SELECT rank, x AS block, count(*) AS times FROM rounds WHERE r = {mixing.ROUNDS + 1} GROUP BY ALL),
 cnt AS (SELECT greatest(1, (count(*) + {mixing.BUCKET_ROWS - 1}) // {mixing.BUCKET_ROWS}) AS b FROM sizes),
 placed AS (
-  SELECT doc_id, s.source, size, source_size, target, rank, sum(size) OVER (PARTITION BY rank ORDER BY coalesce(doc_id, 0) % b, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS off
+  SELECT doc_id, s.source, size, source_size, target, rank, sum(size) OVER (PARTITION BY rank ORDER BY (coalesce(doc_id, 0) % {_P} + {_P}) % {_P} * {_M[0]} % {_P} % b, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT - size AS off
   FROM sizes s JOIN sources t ON s.source IS NOT DISTINCT FROM t.source, cnt
 ), pieces AS (SELECT doc_id, rank, off, size, unnest(range(off // {mixing.BLOCK}, (off + size - 1) // {mixing.BLOCK} + 1)) AS block FROM placed WHERE size > 0),
 taken AS (

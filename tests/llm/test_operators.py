@@ -11,7 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from alertloom.llm import chat_format, embed_neardup, gru_lm, license_scan, line_dedup, mixing, ngram_join, packing, quality, secrets_crf
+from alertloom.llm import chat_format, common, embed_neardup, gru_lm, license_scan, line_dedup, mixing, ngram_join, packing, quality, secrets_crf
 from alertloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,6 +74,43 @@ def test_perfect_hash_is_minimal_and_tells_strangers(rng=np.random.default_rng(1
     assert (empty.probe(h, f)[0] == 0).all()
 
 
+def test_a_stranger_with_a_hot_lines_fingerprint_is_none(rng=np.random.default_rng(2)):
+    h = rng.integers(-(2**63), 2**63, 500)
+    f = np.full(500, 12345)
+    plain_index = line_dedup.LineIndex.build(h, f, np.full(500, 9), np.arange(500))
+    hot = line_dedup.HotIndex(plain_index, h, f)
+    strangers = np.setdiff1d(rng.integers(-(2**63), 2**63, 4000), h)
+    same = np.full(len(strangers), 12345)
+    assert (plain_index.probe(strangers, same)[0] > 0).sum() > 1000 and not hot.probe(strangers, same)[0].any()
+    assert (hot.probe(h, f)[0] == 9).all() and (hot.probe(h, f)[1] == np.arange(500)).all()
+    assert (hot.probe(strangers, same)[1] == line_dedup.NO_DOC).all()
+
+
+def test_line_dedup_of_an_empty_table(no_docs):
+    assert line_dedup.dedup(no_docs).count() == 0
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_join_per_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 5)
+    big = spark.createDataFrame([(k, i) for k in range(8) for i in range(30 if k == 3 else k)], "k long, i long")
+    table = spark.createDataFrame([(k, k * 10, 30 if k == 3 else k) for k in range(1, 7)], "k long, v long, many long")
+    got = common.join_per_key(big, table, ["k"], most=3)
+    assert sorted(map(tuple, got.collect())) == sorted((k, i, k * 10, 30 if k == 3 else k) for k in range(1, 7) for i in range(30 if k == 3 else k))
+
+
 def test_hot_lines_are_answered_alike(docs, monkeypatch):
     want = sorted(map(str, plain(line_dedup.dedup(docs))))
     monkeypatch.setattr(line_dedup, "HOT_LEAST", 2)
@@ -185,55 +222,89 @@ def test_base_statistics(docs):
     assert got == Counter((r["doc_id"], *want(r["text"])) for r in plain(docs))
 
 
-def _mcd(q):
-    """The estimate of ``fit`` in numpy."""
-    n, g, floors = len(q), quality.GRID, np.array(quality.FLOORS) ** 2
+def _moments(q):
+    return np.array([len(q)], float), q.sum(0), q.T @ q
+
+
+def _estimated(sums, factor=1.0):
+    n, s, x = sums
+    m = s / n / quality.GRID
+    return m, factor * (x / n / quality.GRID**2 - np.outer(m, m)) + np.eye(len(m)) / quality.GRID**2
 
-    def estimate(rows):
-        x = rows / g
-        m = rows.sum(0) / len(rows) / g
-        return m, (x.T @ x) / len(rows) - np.outer(m, m) + np.diag(floors)
 
-    dist = lambda m, c: np.einsum("ij,ij->i", (q / g - m) @ np.linalg.inv(c), q / g - m)
+def _distances(q, m, c):
+    x = q / quality.GRID - m
+    return np.einsum("ij,ij->i", x @ np.linalg.inv(c), x)
+
+
+def _mcd(q):
+    """The moments that ``fit`` gives, in numpy."""
+    n, g = len(q), quality.GRID
     bins = lambda d: np.floor(np.log(d + 1e-6) * quality.BINS_PER_E)
     middle = lambda x: np.sort(x)[math.ceil(0.5 * n) - 1]
-    grid = np.floor(q / 64)
+    grid = np.floor(q / quality.COARSE)
     mid = np.array([middle(c) for c in grid.T])
     mad = np.array([middle(np.abs(c - m)) for c, m in zip(grid.T, mid, strict=True)])
-    starts = [(mid * 64 / g, np.diag((mad * 64 / g * 1.4826) ** 2 + floors)), estimate(q)]
+    starts = [(mid * quality.COARSE / g, np.diag(((mad + 1) * quality.COARSE / g * 1.4826) ** 2)), _estimated(_moments(q))]
     ends = []
     for m, c in starts:
         for _ in range(quality.STEPS):
-            b = bins(dist(m, c))
-            need = np.sort(b)[math.ceil(quality.SUPPORT * n) - 1]
-            m, c = estimate(q[b <= need])
+            b = bins(_distances(q, m, c))
+            m, c = _estimated(_moments(q[b <= np.sort(b)[math.ceil(quality.SUPPORT * n) - 1]]))
         ends.append((np.linalg.slogdet(c)[1], len(ends), m, c))
     _, _, m, c = min(ends, key=lambda x: x[:2])
-    d = dist(m, c)
-    scale = max(1.0, math.exp((middle(bins(d)) + 1) / quality.BINS_PER_E) / quality.CHI2_4["median"])
-    m, c = estimate(q[d <= scale * quality.CHI2_4["reweight"]])
-    return dist(m, c)
+    d = _distances(q, m, c)
+    scale = max(1.0, math.exp((middle(bins(d)) + 1) / quality.BINS_PER_E) / quality.CHI2_5["median"])
+    return _moments(q[d <= scale * quality.CHI2_5["reweight"]])
+
 
+def _joined(own, wider):
+    return tuple(a + quality.PRIOR_ROWS / wider[0] * b for a, b in zip(own, wider, strict=True))
 
-def test_robust_distances_against_numpy(spark, monkeypatch):
+
+def test_robust_distances_against_numpy(spark):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(260):
         n = int(rng.integers(30, 80))
-        w = ["".join(rng.choice(list("abcdef"), int(rng.integers(3, 8)))) for _ in range(n)]
+        w = ["".join(rng.choice(list("abcdefA"), int(rng.integers(3, 8)))) + rng.choice(["", "", ",", ".\n"]) for _ in range(n)]
         if i % 13 == 0:
             w = [x + " $$%%&&##" for x in w]
-        rows.append((i, " ".join(w), "en", "a" if i < 140 else None if i < 250 else "few"))
+        rows.append((i, " ".join(w), "en" if i < 200 else "fr", "a" if i < 140 else None if i < 250 else "few"))
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r["doc_id"]: r for r in plain(quality.judge(df))}
-    v = {r["doc_id"]: [r[f"q{i}"] for i in range(4)] for r in plain(quality.vectors(quality.base_statistics(df)))}
-    for ids in (range(140), range(140, 250)):
-        want = _mcd(np.array([v[i] for i in ids], float))
+    v = {r["doc_id"]: [r[f"q{i}"] for i in range(quality.P)] for r in plain(quality.vectors(quality.base_statistics(df)))}
+    q = lambda ids: np.array([v[i] for i in ids], float)
+    every = _mcd(q(range(260)))
+    lang = {k: _joined(_mcd(q([i for i, *_, x, _ in rows if x == k])), every) for k in ("en", "fr")}
+    for key in {r[2:] for r in rows}:
+        ids = [r[0] for r in rows if r[2:] == key]
+        want = _distances(q(ids), *_estimated(_joined(_mcd(q(ids)), lang[key[0]]), quality.CONSISTENCY))
         assert np.allclose([got[i]["distance"] for i in ids], want, rtol=1e-6)
-    assert all(got[i]["kept"] == (i % 13 != 0) for i in range(250))
-    # the small source goes by its language
-    want = _mcd(np.array([v[i] for i in range(260)], float))
-    assert np.allclose([got[i]["distance"] for i in range(250, 260)], want[250:], rtol=1e-6)
+    wrong = [(i, round(got[i]["distance"], 1)) for i in range(260) if got[i]["kept"] != (i % 13 != 0)]
+    assert not wrong
+
+
+def test_correlations_decide_the_verdict(spark, rng=np.random.default_rng(9)):
+    # two statistics that go together in one source and against each other in another: a row that fits in one stands out in the other
+    n = 400
+    together = rng.standard_normal(n)
+    rows = []
+    for source, sign in (("a", 1), ("b", -1)):
+        x = rng.standard_normal((n, quality.P)) * 100
+        x[:, 0] = 100 * together + 10 * rng.standard_normal(n)
+        x[:, 1] = sign * 100 * together + 10 * rng.standard_normal(n)
+        x[0] = [250, 250, 0, 0, 0]
+        rows += [(f"{source}{i}", source, *map(int, r)) for i, r in enumerate(x)]
+    q = [f"q{i} long" for i in range(quality.P)]
+    d = spark.createDataFrame(rows, ", ".join(["id string", "cell string", *q]))
+    fitted = quality._estimate(quality.fit(d.drop("id")), ["cell"], quality.CONSISTENCY)
+    got = {r["id"]: r["d2"] for r in plain(quality._distance(d.join(fitted, "cell")))}
+    assert got["a0"] < quality.CHI2_5["cutoff"] < got["b0"]
+    # of all rows but the planted one, nearly all stay: variances come from the data, the grid's own is far smaller
+    assert sum(x > quality.CHI2_5["cutoff"] for k, x in got.items() if k != "b0") <= 2
+    least = min(np.linalg.eigvalsh(np.cov(np.array([r[2:] for r in rows if r[1] == s], float).T) / quality.GRID**2).min() for s in "ab")
+    assert least > 20 / quality.GRID**2
 
 
 def test_quality_odd_rows(docs, no_docs):
@@ -300,6 +371,36 @@ def test_mixing(docs, no_docs):
     assert mixing.mix(no_docs)[0].count() == 0
 
 
+def test_shards_draw_multinomially_and_meet_the_totals(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "FAN", 8)
+    numbers = {0: 9000, 1: 3000, 3: 700, 4: 1, 7: 40}
+    df = spark.createDataFrame([(r, 10, n) for r, n in numbers.items()], "rank long, blocks long, n_slots long")
+    got = plain(mixing.shard_counts(spark, df))
+    total = sum(numbers.values())
+    per_shard, per_rank = Counter(), Counter()
+    for r in got:
+        per_shard[r["shard"]] += r["n"]
+        per_rank[r["rank"]] += r["n"]
+        assert r["n"] > 0
+    assert per_rank == numbers and len({(r["shard"], r["rank"]) for r in got}) == len(got)
+    assert all(n == min(64, total - 64 * s) for s, n in per_shard.items()) and len(per_shard) == -(-total // 64)
+    # the counts of the largest source vary as a binomial's do
+    x = np.array([next((r["n"] for r in got if r["shard"] == s and r["rank"] == 0), 0) for s in range(total // 64)])
+    p = 9000 / total
+    assert 0.6 < x.var() / (64 * p * (1 - p)) < 1.5
+    assert got == plain(mixing.shard_counts(spark, df)) or sorted(map(str, got)) == sorted(map(str, plain(mixing.shard_counts(spark, df))))
+
+
+def test_running_total_by_levels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "FAN", 4)
+    d = spark.range(200).select((F.col("id") % 2).alias("rank"), F.col("id").alias("at"), (F.col("id") * 7 % 11).alias("n"))
+    got = {r["at"]: r["before"] for r in plain(mixing.before(d, "at", "n", 199))}
+    assert got == {i: sum(j * 7 % 11 for j in range(i % 2, i, 2)) for i in range(200)}
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 128, 1001])
 def test_permutation_is_one(spark, n):
     from pyspark.sql import functions as F
