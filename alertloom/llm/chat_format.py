@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,15 +20,18 @@ ESCAPE = SPECIAL[0]
 IS_SPECIAL = np.zeros(256, bool)
 IS_SPECIAL[list(SPECIAL)] = True
 LOSS_ROLE = "assistant"
-#: Rows assembled at a time, about; a conversation is never cut.
-ROWS = 20_000
+#: Rows and bytes assembled at a time, about; a conversation is never cut, one larger than that is assembled alone.
+ROWS, BYTES = 20_000, 64 << 20
+#: Bytes that a formatted conversation, one string, has at most.
+MOST_BYTES = 2**31 - 1
 SCHEMA = "conv_id long, n_turns long, formatted string, loss array<struct<start:long,end:long>>"
 TURN = re.compile(r"<s>\[((?:[^\\<\[\]]|\\.)*)\]\n((?:[^\\<\[\]]|\\.)*)</s>\n", re.S)
 
 
 def flat(a: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
-    a = (a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a).cast(pa.large_string()).fill_null("")
+    a = a.cast(pa.large_string())
+    a = (a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a).fill_null("")
     offsets = np.frombuffer(a.buffers()[1], np.int64)[a.offset : a.offset + len(a) + 1] if len(a) else np.zeros(1, np.int64)
     data = np.frombuffer(a.buffers()[2], np.uint8) if len(a) and a.buffers()[2] is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
@@ -67,34 +71,78 @@ def assemble(roles: pa.Array, texts: pa.Array, firsts: np.ndarray) -> tuple[pa.A
 
 
 def _format(table: pa.Table) -> pa.RecordBatch:
-    conv = table["conv_id"].combine_chunks()
-    plain, null = conv.fill_null(0).to_numpy(), conv.is_null().to_numpy(zero_copy_only=False)
-    change = np.ones(len(plain), bool)
-    change[1:] = (plain[1:] != plain[:-1]) | (null[1:] != null[:-1])
-    firsts = np.append(np.flatnonzero(change), len(plain))
+    """The conversations of ``table``, with 64-bit offsets."""
+    change = _changes(table["conv_id"])
+    change[0] = True
+    firsts = np.append(np.flatnonzero(change), len(change))
     formatted, start, end = assemble(table["role"], table["text"], firsts)
-    loss = np.array(table["role"].to_pylist(), object) == LOSS_ROLE
+    loss = pc.equal(table["role"].cast(pa.large_string()).combine_chunks(), LOSS_ROLE).fill_null(False).to_numpy(zero_copy_only=False)
     upto = np.concatenate([[0], np.cumsum(loss)])[firsts]
     spans = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.StructArray.from_arrays([pa.array(start[loss]), pa.array(end[loss])], ["start", "end"]))
-    return pa.RecordBatch.from_arrays([conv.take(pa.array(firsts[:-1])), pa.array(np.diff(firsts)), formatted.cast(pa.string()), spans], ["conv_id", "n_turns", "formatted", "loss"])
+    return pa.RecordBatch.from_arrays([table["conv_id"].combine_chunks().take(pa.array(firsts[:-1])), pa.array(np.diff(firsts)), formatted, spans], ["conv_id", "n_turns", "formatted", "loss"])
+
+
+def _changes(conv: pa.ChunkedArray) -> np.ndarray:
+    """Whether each row's conversation is another than that of the row before."""
+    a = conv.combine_chunks()
+    plain, null = a.fill_null(0).to_numpy(), a.is_null().to_numpy(zero_copy_only=False)
+    out = np.ones(len(plain), bool)
+    out[1:] = (plain[1:] != plain[:-1]) | (null[1:] != null[:-1])
+    return out
+
+
+def _sizes(table: pa.Table) -> np.ndarray:
+    return sum(pc.fill_null(pc.binary_length(table[c]), 0).to_numpy().astype(np.int64) for c in ("role", "text"))
+
+
+def _bounded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose strings need no more than 32-bit offsets, conversations whole; one over MOST_BYTES is an error."""
+    sizes = pc.binary_length(batch.column("formatted")).to_numpy()
+    if len(sizes) and sizes.max() > MOST_BYTES:
+        raise ValueError(f"conversation {batch.column('conv_id')[int(sizes.argmax())]} has {sizes.max()} bytes, more than a string holds")
+    lo, held = 0, 0
+    for k, n in enumerate(sizes.tolist()):
+        if held + n > MOST_BYTES:
+            yield batch.slice(lo, k - lo)
+            lo, held = k, 0
+        held += n
+    yield batch.slice(lo)
 
 
 def _assemble_sorted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Formats rows sorted by conversation; the last conversation of a batch waits for the next batch."""
-    held: pa.Table | None = None
+    """Formats rows sorted by conversation, once ROWS or BYTES of them are there; the last conversation waits for its end.
+
+    Batches are looked at once each and only kept in a list, so a conversation of many batches costs no more than its rows.
+    """
+    kept: list[pa.Table] = []
+    rows = bytes_ = 0
+    last = None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        table = pa.concat_tables(kept)
+        for part in _bounded(_format(table)):
+            # each part's strings fit 32-bit offsets
+            cols = [part.column("formatted").cast(pa.string()) if n == "formatted" else part.column(n) for n in part.schema.names]
+            yield pa.RecordBatch.from_arrays(cols, part.schema.names)
+
     for batch in batches:
-        held = pa.concat_tables([*([held] if held is not None else []), pa.Table.from_batches([batch])])
-        if held.num_rows < ROWS:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
             continue
-        conv = held["conv_id"].to_pylist()
-        cut = len(conv)
-        while cut and conv[cut - 1] == conv[-1]:
-            cut -= 1
-        if cut:
-            yield _format(held.slice(0, cut))
-            held = held.slice(cut)
-    if held is not None and held.num_rows:
-        yield _format(held)
+        change = _changes(table["conv_id"])
+        change[0] = bool(kept) and table["conv_id"][0].as_py() != last
+        last = table["conv_id"][-1].as_py()
+        size = np.concatenate([[0], np.cumsum(_sizes(table))])
+        lo = 0
+        for cut in np.flatnonzero(change).tolist():
+            if rows + cut - lo >= ROWS or bytes_ + size[cut] - size[lo] >= BYTES:
+                kept.append(table.slice(lo, cut - lo))
+                yield from flush()
+                kept, rows, bytes_, lo = [], 0, 0, cut
+        kept.append(table.slice(lo))
+        rows, bytes_ = rows + table.num_rows - lo, bytes_ + int(size[-1] - size[lo])
+    if kept:
+        yield from flush()
 
 
 def chat_format(conversations: DataFrame) -> DataFrame:
@@ -102,7 +150,7 @@ def chat_format(conversations: DataFrame) -> DataFrame:
 
     Rows go by turn (null first), then role and text, so that ties and repeated rows have one order; repeated rows are turns of
     their own. Null role or text counts as empty; rows of null conv_id are one conversation. Roles other than assistant carry no
-    loss. An empty table gives an empty result; other columns are ignored.
+    loss. An empty table gives an empty result; other columns are ignored. A conversation of more than MOST_BYTES is an error.
     """
     rows = conversations.select(F.col("conv_id").cast("long"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))

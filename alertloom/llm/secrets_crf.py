@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,13 +26,11 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _table = lambda chars: np.isin(np.arange(256), list(chars))
 DIGIT, UPPER, SMALL = _table(b"0123456789"), _table(range(65, 91)), _table(range(97, 123))
 HEXES, JOINS, KEYISH, WIDE = _table(b"0123456789abcdef"), _table(b"_-+/=."), _table(b"_-+/=.0123456789") | UPPER | SMALL, np.arange(256) >= 128
-SETS = _table(b":=")
+SETS, PATHS = _table(b":="), _table(b"/@")
 
 O, B, I = range(3)  # noqa: E741
-#: Columns of ``Chunk.features`` that show digits, and those that show a keyword or an assignment, of a word or of one beside it.
-DIGITS, NAMING = 7, [13, 19, 20, 22, 23, 24, 25]
 #: Documents and windows that the field is fitted on at most, by hash of the doc_id; words of a window, passes and step.
-SAMPLE_DOCS, SAMPLE_WINDOWS, SPAN, PASSES, STEP = 4000, 6000, 24, 150, 0.08
+SAMPLE_DOCS, SAMPLE_WINDOWS, SPAN, PASSES, STEP = 4000, 4000, 24, 120, 0.1
 SCHEMA = "doc_id long, spans array<struct<kind:int,start:long,end:long>>"
 
 
@@ -78,7 +78,18 @@ class Chunk:
         return t
 
     def features(self) -> np.ndarray:
-        """0/1 features of every word: its shape, the shapes of the words beside it, and its file's."""
+        """(words, features) in 0 and 1."""
+        return np.stack([x.astype(np.float32) for x in self.columns()], 1)
+
+    def emissions(self, w: np.ndarray) -> np.ndarray:
+        """(words, tags): the features times their weights, a column at a time, so that a long text takes no more than a few of them."""
+        out = np.zeros((len(self.starts), w.shape[1]), np.float32)
+        for x, k in zip(self.columns(), w.astype(np.float32), strict=True):
+            np.add(out, k, out=out, where=x[:, None])
+        return out
+
+    def columns(self) -> Iterator[np.ndarray]:
+        """Features of every word, one after the other: its shape, the shapes of the words beside it, and its file's."""
         d, s, e = self.data, self.starts, self.ends
         n = len(s)
         count = lambda table: (lambda c: c[e] - c[s])(np.concatenate([[0], np.cumsum(table[d], dtype=np.int32)]))
@@ -100,28 +111,26 @@ class Chunk:
             digits > 0, digits * 3 > size, upper > 0, (upper > 1) & (small > 0) | (upper > 0) & (digits > 0), (small == 0) & (size > 3),
             joins > 0, sets > 0, hexes == size, keyish == size, (hexes == size) & (size > 15), (turns > 3) & (digits > 0), turns > 7,
             keyword, (last == 58) | (last == 61), (digits > 0) & (small > 0),
+            sets > 1, (size > 15) & (digits > 0) & (upper > 0) & (small > 0), (size > 19) & (keyish == size) & (digits > 0), (size > 19) & (digits * 12 > size) & (turns * 4 > size), joins > 2, count(PATHS) > 1, digits == size, small + upper == size,
+            (size > 19) & (joins == 0) & (turns * 3 > size), digits + joins + sets >= size - 2,
         ]
         beside = [keyword, (last == 58) | (last == 61), digits > 0, (turns > 3) & (digits > 0), size > 15]
         row = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         per = np.maximum(np.diff(self.first), 1)
         of = lambda x: np.bincount(row, x, minlength=len(per))
         file = [of(keyword)[row] > 0, (of(digits > 0) / per)[row] > 0.2, per[row] > 1000]
-        out = np.zeros((n, 1 + len(own) + 2 * len(beside) + len(file)), np.float32)
-        out[:, 0] = 1
-        for k, x in enumerate(own, 1):
-            out[:, k] = x
+        yield np.ones(n, bool)
+        yield from own
         inner_l, inner_r = np.ones(n, bool), np.ones(n, bool)
         inner_l[self.first[:-1][self.first[:-1] < n]] = False
         inner_r[self.first[1:][self.first[1:] > 0] - 1] = False
-        k = 1 + len(own)
         for x in beside:
-            out[1:, k] = x[:-1] & inner_l[1:]
-            out[:-1, k + 1] = x[1:] & inner_r[:-1]
-            k += 2
-        for x in file:
-            out[:, k] = x
-            k += 1
-        return out
+            left, right = np.zeros(n, bool), np.zeros(n, bool)
+            left[1:] = x[:-1] & inner_l[1:]
+            right[:-1] = x[1:] & inner_r[:-1]
+            yield left
+            yield right
+        yield from file
 
 
 def fit(x: np.ndarray, y: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
@@ -197,9 +206,54 @@ def viterbi(e: np.ndarray, a: np.ndarray, first: np.ndarray) -> np.ndarray:
     return tags
 
 
+def shape(r: random.Random, secret: bool) -> bytes:
+    """A made-up word that looks like a secret of a form that no base pattern knows, or like an ordinary word with digits or signs."""
+    some = lambda chars, lo, hi: "".join(r.choices(chars, k=r.randint(lo, hi)))
+    small, digits = string.ascii_lowercase, string.digits
+    any_, url = string.ascii_letters + digits, string.ascii_letters + digits + "-_"
+    word = lambda: some(small, 2, 9)
+    if secret:
+        made = r.choice([
+            lambda: f"{some(small, 2, 4)}_{some(any_, 20, 40)}", lambda: some(any_, 20, 44), lambda: some(any_ + "/+", 32, 44), lambda: some(any_, 38, 42) + "==",
+            lambda: "-".join([some(small, 3, 5), some(digits, 8, 12), some(any_, 16, 26)]), lambda: f"{some(url, 20, 40)}.{some(url, 20, 60)}", lambda: some(small + digits, 24, 40),
+        ])
+    else:
+        made = r.choice([
+            lambda: f"20{some(digits, 2, 2)}-{some(digits, 2, 2)}-{some(digits, 2, 2)}", lambda: f"20{some(digits, 2, 2)}-0{some(digits, 1, 1)}-1{some(digits, 1, 1)}T{some(digits, 2, 2)}:{some(digits, 2, 2)}:{some(digits, 2, 2)}Z",
+            lambda: f"https://{word()}.{word()}.org/{word()}/{word()}?{word()[:2]}={some(digits, 1, 4)}", lambda: ".".join(some(digits, 1, 3) for _ in range(r.randint(2, 4))), lambda: some(digits, 8, 16),
+            lambda: "-".join(word() for _ in range(r.randint(2, 4))), lambda: "_".join(word() for _ in range(r.randint(2, 4))) + some(digits, 0, 2), lambda: "".join(word().capitalize() for _ in range(r.randint(2, 5))),
+            lambda: f"{word()}.{some(digits, 1, 3)}@{word()}.com", lambda: "/".join(["", word(), word(), f"{word()}.{word()[:3]}"]), lambda: word().upper() + some(digits, 1, 4), lambda: "".join(word() for _ in range(4)),
+        ])
+    return made().encode()
+
+
+def _recast(c: Chunk, mid: int, lo: int, hi: int, r: random.Random) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, tags) of the words lo to hi with the word at ``mid`` replaced by a made-up secret, and by a made-up harmless word."""
+    words = [c.raw[c.starts[k] : c.ends[k]] for k in range(lo, hi)]
+    for secret in (True, False):
+        w = list(words)
+        w[mid - lo] = shape(r, secret)
+        if mid > lo and r.random() < 0.25:
+            w[mid - lo - 1] = r.choice((*KEYWORDS, b"key:", b"is", b"="))
+        text = np.frombuffer(b" ".join(w), np.uint8)
+        made = Chunk(text, np.array([0, len(text)]))
+        y = np.zeros(len(w), np.int8)
+        y[mid - lo] = B if secret else O
+        yield made.features(), np.maximum(y, made.tags()) if secret else y
+
+
 def _windows(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
-    """Windows around base spans and, as many, at even steps elsewhere."""
+    """Windows around base spans and, as many, at even steps elsewhere; of the latter also copies with a made-up word in the middle, so
+    that the field learns shapes and neighbours that the base patterns don't know."""
     xs, ys = [], []
+    r = random.Random(41)
+
+    def add(x: np.ndarray, y: np.ndarray) -> None:
+        xx, yy = np.zeros((SPAN, x.shape[1]), np.float32), np.full(SPAN, -1, np.int8)
+        xx[: len(x)], yy[: len(y)] = x, y
+        xs.append(xx)
+        ys.append(yy)
+
     for batch in batches:
         for _, _, data, offsets in chunks(batch.column("text")):
             c = Chunk(data, offsets)
@@ -209,26 +263,21 @@ def _windows(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]
             x, y = c.features(), c.tags()
             row = np.repeat(np.arange(len(c.first) - 1), np.diff(c.first))
             hits = np.flatnonzero(y == B)
-            mids = np.concatenate([hits, np.arange(0, n, max(1, n // (len(hits) + 64)))])
-            for mid in mids:
-                lo = max(int(c.first[row[mid]]), int(mid) - SPAN // 2)
+            for k, mid in enumerate(np.concatenate([hits, np.arange(0, n, max(1, n // (len(hits) + 64)))]).tolist()):
+                lo = max(int(c.first[row[mid]]), mid - SPAN // 2)
                 hi = min(int(c.first[row[mid] + 1]), lo + SPAN)
-                xx, yy = np.zeros((SPAN, x.shape[1]), np.float32), np.full(SPAN, -1, np.int8)
-                xx[: hi - lo], yy[: hi - lo] = x[lo:hi], y[lo:hi]
-                xs.append(xx)
-                ys.append(yy)
+                add(x[lo:hi], y[lo:hi])
+                if k >= len(hits) and not y[lo:hi].any():
+                    for made in _recast(c, mid, lo, hi, r):
+                        add(*made)
     if not xs:
         return np.zeros((0, SPAN, 1), np.float32), np.zeros((0, SPAN), np.int8)
     x, y = np.stack(xs), np.stack(ys)
-    # the same spans once more without what names them: only words with digits are left of them, to be known by their shape
-    held = (y == B).any(1)
-    bare, shape = x[held].copy(), np.where((y[held] > 0) & (x[held][..., DIGITS] > 0), B, np.minimum(y[held], 0))
-    bare[..., NAMING] = 0
-    x, y = np.concatenate([x, bare]), np.concatenate([y, shape.astype(np.int8)])
-    # of too many windows, all that hold a span first
+    # of too many windows, at even steps among those with a span and among the others
     order = np.argsort(~(y == B).any(1), kind="stable")
-    half = np.concatenate([order[: SAMPLE_WINDOWS // 2], order[SAMPLE_WINDOWS // 2 :][:: max(1, 2 * (len(order) - SAMPLE_WINDOWS // 2) // SAMPLE_WINDOWS)]])[:SAMPLE_WINDOWS] if len(order) > SAMPLE_WINDOWS else order
-    return x[half], y[half].astype(np.int64)
+    if len(order) > SAMPLE_WINDOWS:
+        order = order[np.arange(SAMPLE_WINDOWS) * len(order) // SAMPLE_WINDOWS]
+    return x[order], y[order].astype(np.int64)
 
 
 def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
@@ -252,7 +301,8 @@ def train(docs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document row, doc_id and its spans (kind as an index into KINDS, start, end in code points) by start, then kind.
 
-    Base spans are those of the patterns; the field adds the spans of the words that it tags, where no base span overlaps. Null
+    Base spans are those of the patterns; the field, fitted on their matches and on made-up words (``shape``) in the corpus's own
+    sentences, adds the spans of the words that it tags, where no base span overlaps. Null
     and empty texts have none. Repeated rows are scanned one by one; an empty table gives an empty result; other columns are
     ignored. The field is fitted on a bounded sample, every document is tagged whole.
     """
@@ -267,7 +317,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 found = list(c.base)
                 if len(c.starts) and model.value is not None:
                     w, a = model.value
-                    tags = viterbi(c.features() @ w.astype(np.float32), a, c.first[:-1])
+                    tags = viterbi(c.emissions(w), a, c.first[:-1])
                     found += _added(c, tags)
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 found.sort(key=lambda x: (x[1], x[0]))
