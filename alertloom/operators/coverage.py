@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PEER_SHARE, MIN_PEERS = 0.9, 5
+#: Lines of contracts at most; those of a host's platform are each held against its name.
+MOST_CONTRACTS = 100_000
 
 
 def peer_gaps(have: DataFrame, peers: DataFrame, share: float = PEER_SHARE) -> DataFrame:
@@ -26,6 +28,8 @@ def contract_states(contracts: DataFrame, hosts: DataFrame, stats: DataFrame, no
     ``contracts`` is (contract, platform, name_like, source): a small theta side; ``hosts`` (host, platform); ``stats`` (host, source,
     n, last_s).
     """
+    if contracts.limit(MOST_CONTRACTS + 1).count() > MOST_CONTRACTS:
+        raise ValueError(f"more than {MOST_CONTRACTS} contracts")
     due = hosts.join(F.broadcast(contracts), hosts["platform"].eqNullSafe(contracts["platform"]) & F.col("host").like("%") & F.expr("host LIKE name_like")).select("contract", "host", "source")
     d = due.join(stats, ["host", "source"], "left")
     state = F.when(F.col("n").isNull(), "missing").when(F.lit(now) - F.col("last_s") > quiet_s, "silent").when(F.col("n") < least, "low").otherwise("present")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.operators.noise import hour
+from alertloom.operators.order import least_from_above, numbered
 
 BASELINE_H, WINDOW_H = 14 * 24, 24
 PRIOR_H = 48
@@ -88,10 +89,12 @@ def silent_p0(s: DataFrame, p: DataFrame, k: DataFrame) -> DataFrame:
 
 
 def q_values(p: DataFrame, key: str = "key1", log_p: str = "log_p0") -> DataFrame:
-    """Benjamini-Hochberg: p n / rank, made monotone from the largest p down."""
-    up, down = Window.orderBy(log_p, key), Window.orderBy(F.desc(log_p), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    d = p.select(key, F.exp(log_p).alias("p"), log_p, F.row_number().over(up).alias("rank"), F.count(F.lit(1)).over(Window.partitionBy()).alias("tests"))
-    return d.withColumn("q", F.least(F.lit(1.0), F.min(F.col("p") * F.col("tests") / F.col("rank")).over(down))).select(key, "p", "rank", "q")
+    """Benjamini-Hochberg: p n / rank, made monotone from the largest p down. Ranks and minima go by ranges of the order, so no task has
+    all keys."""
+    order = [F.col(log_p), F.col(key)]
+    d = numbered(p.select(key, log_p, F.exp(log_p).alias("p")), order, "rank").join(F.broadcast(p.agg(F.count(F.lit(1)).alias("tests"))))
+    d = least_from_above(d, order, F.col("p") * F.col("tests") / F.col("rank"), "least")
+    return d.select(key, "p", "rank", F.least(F.lit(1.0), "least").alias("q"))
 
 
 def precursors(a: DataFrame, latest: int = 64) -> DataFrame:

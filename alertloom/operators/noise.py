@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.cuts import checkpointed
 from alertloom.operators.alerts import ANALYST, HIGH
 
 MIN_ALERTS, MIN_PER_DAY = 50, 5.0
@@ -168,13 +169,19 @@ def gated(c: DataFrame, max_level: int = 11, min_days: int = 7, n_days: Column |
     return c.withColumn("share", F.col("n") / F.col("rule_total")).withColumn("verdict", F.coalesce(learning, level, hard, hides, F.lit("tune")))
 
 
+def by_rule(suggestions: DataFrame, most: int = 100_000) -> DataFrame:
+    """``suggestions``, for every task if they are ``most`` at most, as suggestions are; more of them are shuffled with the alerts."""
+    s = checkpointed(suggestions)
+    return F.broadcast(s) if s.limit(most + 1).count() <= most else s
+
+
 def backtest(a: DataFrame, suggestions: DataFrame) -> DataFrame:
     """Replay of the suggestions over all alerts: an alert is hidden if it meets every condition (relational division).
 
     ``suggestions`` is (fp, rule_id, conditions array<struct<field,value>>). It comes from at most a few per rule and joins by rule.
     """
     facts = a.select("rule_id", "ts", "lvl", "src", "event_id", F.map_from_arrays(F.array(F.lit("src"), F.lit("ls")), F.array("src", "ls")).alias("has"))
-    hit = facts.join(suggestions, "rule_id").filter(F.forall("conditions", lambda c: F.col("has")[c["field"]] == c["value"]))
+    hit = facts.join(by_rule(suggestions), "rule_id").filter(F.forall("conditions", lambda c: F.col("has")[c["field"]] == c["value"]))
     stats = hit.groupBy("fp").agg(F.count(F.lit(1)).alias("hidden"), F.count_if(F.col("lvl") >= ANALYST).alias("analyst_hidden"), F.count_if(F.col("lvl") >= HIGH).alias("high_hidden"), F.count_distinct("src").alias("hosts"), F.max("lvl").alias("max_lvl"), F.count_distinct(day(F.col("ts"))).alias("days"))
     return suggestions.select("fp", "rule_id").join(stats, "fp", "left").na.fill(0)
 
@@ -182,7 +189,7 @@ def backtest(a: DataFrame, suggestions: DataFrame) -> DataFrame:
 def time_saved(a: DataFrame, suggestions: DataFrame, minutes: tuple[float, float] = (1.0, 5.0)) -> DataFrame:
     """Distinct analyst-facing sessions that any suggestion hides, and the minutes a day that they stand for."""
     facts = a.filter(F.col("lvl") >= ANALYST).select("rule_id", "src", "ls", F.floor(F.unix_seconds("ts") / CLUSTER_GAP_S).alias("bucket"), F.map_from_arrays(F.array(F.lit("src"), F.lit("ls")), F.array("src", "ls")).alias("has"))
-    hit = facts.join(suggestions, "rule_id").filter(F.forall("conditions", lambda c: F.col("has")[c["field"]] == c["value"]))
+    hit = facts.join(by_rule(suggestions), "rule_id").filter(F.forall("conditions", lambda c: F.col("has")[c["field"]] == c["value"]))
     n = hit.agg(F.count_distinct("rule_id", "src", "ls", "bucket").alias("sessions")).join(F.broadcast(window_days(a).select("n_days")))
     return n.select("sessions", *[(F.col("sessions") * m / F.col("n_days")).alias(c) for c, m in zip(("minutes_low", "minutes_high"), minutes, strict=True)])
 

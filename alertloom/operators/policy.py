@@ -9,6 +9,8 @@ from alertloom.operators.incidents import rank
 
 REMIND_S, LIKE = 12 * 3600, 5
 SINGLE_CAUSE = 0.7
+#: Patterns of accepted findings at most: each finding is held against all of them.
+MOST_PATTERNS = 10_000
 SLA_H = {"critical": 4, "standard": 24, "low": 72}
 
 
@@ -17,11 +19,14 @@ def accepted(findings: DataFrame, rules: DataFrame, now: int) -> DataFrame:
 
     ``rules`` is (rule, fp, kind_like, subject_like, until_s): a few lines of a file, matched as a theta side.
     """
-    live = F.broadcast(rules.filter(F.col("until_s").isNull() | (F.col("until_s") >= now)).withColumnRenamed("fp", "of"))
-    by_fp = F.col("of").isNotNull() & (F.col("of") == F.col("fp"))
-    by_like = F.col("of").isNull() & F.expr("kind LIKE kind_like") & F.expr("subject LIKE subject_like")
-    hit = findings.join(live, by_fp | by_like, "left")
-    return hit.groupBy("fp", "kind", "subject", "severity").agg(F.min("rule").alias("accepted_by"))
+    live = rules.filter(F.col("until_s").isNull() | (F.col("until_s") >= now)).withColumnRenamed("fp", "of")
+    same = live.filter("of is not null").groupBy("of").agg(F.min("rule").alias("by_fp"))
+    like = live.filter("of is null").select("rule", "kind_like", "subject_like")
+    some = like.limit(MOST_PATTERNS + 1).count()
+    if some > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} patterns of accepted findings")
+    hit = findings.join(same, F.col("of") == F.col("fp"), "left").join(F.broadcast(like), F.expr("kind LIKE kind_like AND subject LIKE subject_like"), "left")
+    return hit.groupBy("fp", "kind", "subject", "severity").agg(F.min(F.least("by_fp", "rule")).alias("accepted_by"))
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:

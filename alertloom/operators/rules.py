@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,20 +16,20 @@ def descendants(rules: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> D
     """(root, rule, level): every rule below ``root`` along ``edges`` (parent, child), at its least level.
 
     An edge holds only if the parent was loaded first: ``rules`` is (rule, position). Rounds go level by level and stop when one
-    finds nothing new; a cycle ends at the level it closes.
+    finds nothing new; a cycle ends at the level it closes. Each level is written once.
     """
     pos = lambda n: rules.select(F.col("rule").alias(n), F.col("position").alias(f"p_{n}"))
     e = checkpointed(edges.join(pos("parent"), "parent").join(pos("child"), "child").filter("p_parent < p_child").select("parent", "child").distinct())
-    front = e.select(F.col("parent").alias("root"), F.col("child").alias("rule"), F.lit(1).alias("level"))
-    found = checkpointed(front)
-    front = found
+    front = checkpointed(e.select(F.col("parent").alias("root"), F.col("child").alias("rule"), F.lit(1).alias("level")))
+    levels = [front]
     for level in range(2, depth + 1):
         step = front.select("root", F.col("rule").alias("parent")).join(e, "parent").select("root", F.col("child").alias("rule")).distinct()
-        front = checkpointed(step.join(found, ["root", "rule"], "left_anti").filter("root <> rule").withColumn("level", F.lit(level)))
+        known = reduce(DataFrame.unionByName, levels)
+        front = checkpointed(step.join(known, ["root", "rule"], "left_anti").filter("root <> rule").withColumn("level", F.lit(level)))
         if not front.limit(1).count():
             break
-        found = checkpointed(found.unionByName(front))
-    return found
+        levels.append(front)
+    return reduce(DataFrame.unionByName, levels)
 
 
 def audit(rules: DataFrame, edges: DataFrame) -> DataFrame:

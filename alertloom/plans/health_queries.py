@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertloom.functions import scalars as fn
@@ -314,9 +314,11 @@ def process_paths(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("c_custkey", "p", fn.process_name(F.col("p")).alias("name"), fn.user_writable(F.col("p")).alias("writable"))
 
 
-@query(f"""{WITH}, u AS (SELECT src, min(rule_id) OVER (PARTITION BY src ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS r FROM a) SELECT r, count(DISTINCT src) AS hosts FROM u GROUP BY r""")
+@query(f"""{WITH}, u AS (SELECT src, arg_min(rule_id, (ts, event_id)) AS r FROM a GROUP BY src) SELECT r, count(DISTINCT src) AS hosts FROM u GROUP BY r""")
 def hosts_by_first_label(spark: SparkSession, sf: str) -> DataFrame:
-    return alerts(spark, sf).withColumn("r", F.min("rule_id").over(Window.partitionBy("src"))).groupBy("r").agg(F.count_distinct("src").alias("hosts"))
+    """Hosts by the rule of their first event in time."""
+    first = alerts(spark, sf).groupBy("src").agg(F.min_by("rule_id", F.struct("ts", "event_id")).alias("r"))
+    return first.groupBy("r").agg(F.count(F.lit(1)).alias("hosts"))
 
 
 @query(f"""{WITH}, an AS (SELECT src AS host, max(s) AS start_s, CASE WHEN max(k) % 2 = 0 THEN 'drop' ELSE 'silent' END AS kind FROM a GROUP BY src), p AS (SELECT src AS host, s AS at_s FROM a WHERE lvl >= 10)
