@@ -23,9 +23,10 @@ def folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder; its lineage ends there."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once as Parquet in the shared folder and read back; its lineage ends there."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lines_of(df: DataFrame, by: str | None = None) -> str:

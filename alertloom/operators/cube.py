@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertloom.functions.cuts import checkpointed
 from alertloom.operators.noise import hour
 from alertloom.operators.order import least_from_above, numbered
 
@@ -92,7 +93,8 @@ def q_values(p: DataFrame, key: str = "key1", log_p: str = "log_p0") -> DataFram
     """Benjamini-Hochberg: p n / rank, made monotone from the largest p down. Ranks and minima go by ranges of the order, so no task has
     all keys."""
     order = [F.col(log_p), F.col(key)]
-    d = numbered(p.select(key, log_p, F.exp(log_p).alias("p")), order, "rank").join(F.broadcast(p.agg(F.count(F.lit(1)).alias("tests"))))
+    p = checkpointed(p.select(key, log_p, F.exp(log_p).alias("p")))
+    d = numbered(p, order, "rank").join(F.broadcast(p.agg(F.count(F.lit(1)).alias("tests"))))
     d = least_from_above(d, order, F.col("p") * F.col("tests") / F.col("rank"), "least")
     return d.select(key, "p", "rank", F.least(F.lit(1.0), "least").alias("q"))
 
