@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,11 @@ CURVE_DAYS, CURVE_RUNS = 14, 2.0
 # Share of a parent's deficit that its children explain; an outage of all: seconds, share, and sources that are always on or any.
 EXPLAINED, OUTAGE_S, OUTAGE_SHARE, OUTAGE_STEADY, OUTAGE_ANY = 0.7, 7200, 0.3, 3, 5
 
+# What a quiet run must tell, runs needed beside one, half of the 90 % quantile of chi-square, and the least theta.
+INFORMATIVE, RUNS, NEAR, LEAST_THETA = 0.5, 5, 1.355, 0.01
+#: Values of theta that are looked at, from one in a million to 1 in steps of 0.34 %.
+THETAS = np.exp(np.log(1e-6) * (1 - np.arange(4097) / 4096))
+
 
 def clock(spark: SparkSession, first: int, last: int, zone: str, off: DataFrame) -> DataFrame:
     """One row per UTC hour in [first, last] (hours since 1970): slot of the local week (Monday 0 is 0), local day (days since 1970), whether
@@ -112,3 +121,60 @@ def explained(parents: DataFrame, children: DataFrame) -> DataFrame:
     d = parents.join(have, "parent", "left").na.fill(0, ["have", "children"])
     share = F.when(F.col("deficit") > 0, F.col("have") / F.col("deficit"))
     return d.select("parent", "deficit", "children", share.alias("share"), F.coalesce((F.col("children") > 0) & (share >= EXPLAINED), F.lit(False)).alias("explained"))
+
+
+def quiet_costs(hours: DataFrame, within_day: bool = False) -> DataFrame:
+    """Quiet runs of ``hours`` (key, h, n, cost, day) after a key's first event: (key, first, on, end): what it costs the model that a run went
+    on after its first hour, and what it would have cost to go on once more, 0 for a run whose end isn't seen.
+
+    With ``within_day`` a run is followed to the end of its first day only: whole days off have a model of their own.
+    """
+    w = Window.partitionBy("key").orderBy("h")
+    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    d = hours.withColumn("events", F.count_if(F.col("n") > 0).over(past)).filter("events > 0")
+    # all hours of a run share the number of events' hours before it, which is the hour before its first
+    d = d.withColumn("end", F.when(F.col("n") > 0, F.col("cost"))).withColumn("end_day", F.when(F.col("n") > 0, F.col("day")))
+    d = d.withColumn("next_end", F.lead("end").over(w)).withColumn("next_day", F.lead("end_day").over(w)).filter("n <= 0")
+    r = Window.partitionBy("key", "events")
+    d = d.withColumn("first", F.min("h").over(r)).withColumn("first_day", F.min("day").over(r))
+    same = (F.col("day") == F.col("first_day")) if within_day else F.lit(True)
+    ends = F.col("next_end").isNotNull() & ((F.col("next_day") == F.col("first_day")) if within_day else F.lit(True))
+    return d.groupBy("key", "first").agg(F.sum(F.when((F.col("h") > F.col("first")) & same, F.col("cost")).otherwise(0.0)).alias("on"), F.max(F.when(ends, F.col("next_end")).otherwise(0.0)).alias("end"))
+
+
+@F.pandas_udf("double")
+def likely_theta(on: pd.Series, ends: pd.Series) -> pd.Series:
+    """The largest theta of THETAS whose likelihood is near the best: exp(-theta * on) for going on, 1 - exp(-theta * end) for each end.
+
+    The logarithm is concave, so halving finds the best place and then the last one near it.
+    """
+
+    def one(on: float, ends: np.ndarray) -> float:
+        def ll(i: int) -> float:
+            return -THETAS[i] * on + float(np.log(np.maximum(-np.expm1(-THETAS[i] * ends), 1e-300)).sum())
+
+        top = len(THETAS) - 1
+        best = bisect.bisect_left(range(top), True, key=lambda i: ll(i + 1) <= ll(i))
+        peak = ll(best)
+        if peak - ll(top) <= NEAR:
+            return 1.0
+        last = bisect.bisect_left(range(top + 1), True, lo=best, key=lambda i: peak - ll(i) > NEAR) - 1
+        return max(LEAST_THETA, float(THETAS[last]))
+
+    return pd.Series([one(a, np.asarray(b, float)) for a, b in zip(on, ends, strict=True)], dtype="float64")
+
+
+def burstiness(quiet: DataFrame) -> DataFrame:
+    """(key, runs, theta) of ``quiet`` (key, first, on, end): an hour more of silence is as likely as the model's chance to the power theta.
+
+    Runs that the model expected less than INFORMATIVE in say nothing; RUNS and one more are needed, else there is no row and theta is 1. The
+    longest tenth, one at least, count no longer than the next and without an end, so one outage is no habit. A key has at most as many runs
+    as its baseline has hours.
+    """
+    w = Window.partitionBy("key")
+    d = quiet.withColumn("on", F.round("on", 9)).filter(F.col("on") + F.col("end") >= INFORMATIVE)
+    d = d.withColumn("runs", F.count(F.lit(1)).over(w)).filter(F.col("runs") > RUNS).withColumn("place", F.row_number().over(w.orderBy("on", "first")))
+    kept = F.col("place") <= F.col("runs") - F.greatest(F.lit(1), F.floor(F.col("runs") / 10))
+    d = d.withColumn("cap", F.max(F.when(kept, F.col("on"))).over(w)).withColumn("kept", kept)
+    per = d.groupBy("key", "runs").agg(F.sum(F.least("on", "cap")).alias("on"), F.array_sort(F.collect_list(F.when(F.col("kept") & (F.col("end") > 0), F.col("end")))).alias("ends"))
+    return per.select("key", "runs", likely_theta("on", "ends").alias("theta"))

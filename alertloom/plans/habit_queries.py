@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.operators import habits, rhythm
+from alertloom.operators import cube, habits, rhythm
 from alertloom.operators.alerts import alerts, r6
-from alertloom.plans.cube_queries import _ALL, _fitted
+from alertloom.plans.cube_queries import _ALL, _DISP, _fitted
 from alertloom.plans.noise_queries import WITH
 from alertloom.plans.rhythm_queries import _days, _dense
 
@@ -99,3 +99,25 @@ def explained_deficits(spark: SparkSession, sf: str) -> DataFrame:
     c = alerts(spark, sf).groupBy("src", "ls").agg((F.count_if(odd == 0) - F.count_if(odd == 1)).cast("double").alias("deficit"))
     kids = c.filter("deficit >= 2").select(F.col("src").alias("parent"), F.col("ls").alias("child"), "deficit")
     return habits.explained(c.groupBy(F.col("src").alias("parent")).agg(F.sum("deficit").alias("deficit")), kids).withColumn("share", r6(F.col("share")))
+
+
+_BURSTS = _ALL.replace("FROM events)", "FROM events WHERE epoch_us(ts) // 25200000000 % 3 = 0)")
+
+
+@query(f"""{_BURSTS}, {_DISP}, hr AS (SELECT b.key1 AS key, b.h, b.n, k.k * ln(1 + mean * weight / k.k) AS cost, b.h // 24 AS day FROM b JOIN p ON p.key1 = b.key1 AND p.hod = slot % 24 JOIN k ON k.key1 = b.key1),
+ev AS (SELECT *, count(*) FILTER (n > 0) OVER (PARTITION BY key ORDER BY h) AS ev FROM hr), q AS (SELECT key, ev, h, cost, day, min(h) OVER r AS first, min(day) OVER r AS fd FROM ev WHERE ev > 0 AND n <= 0 WINDOW r AS (PARTITION BY key, ev)),
+e AS (SELECT key, ev, cost AS fin, day AS ed FROM ev WHERE n > 0), ru AS (SELECT q.key, q.first, round(sum(CASE WHEN q.h > q.first AND q.day = q.fd THEN q.cost ELSE 0 END), 9) AS on_, coalesce(max(e.fin) FILTER (e.ed = q.fd), 0) AS fin FROM q LEFT JOIN e ON e.key = q.key AND e.ev = q.ev + 1 GROUP BY q.key, q.first),
+nn AS (SELECT *, count(*) OVER (PARTITION BY key) AS runs, row_number() OVER (PARTITION BY key ORDER BY on_, first) AS place FROM ru WHERE on_ + fin >= 0.5), ke AS (SELECT *, place <= runs - greatest(1, runs // 10) AS kept FROM nn WHERE runs > 5),
+ca AS (SELECT *, max(on_) FILTER (kept) OVER (PARTITION BY key) AS cap FROM ke), so AS (SELECT key, runs, sum(least(on_, cap)) AS on_ FROM ca GROUP BY ALL), th AS (SELECT unnest(range(4097)) AS i), tv AS (SELECT i, exp(ln(1e-6::DOUBLE) * (1 - i / 4096)) AS theta FROM th),
+te AS (SELECT ca.key, i, sum(ln(greatest(1 - exp(-theta * fin), 1e-300::DOUBLE))) AS s FROM ca, tv WHERE kept AND fin > 0 GROUP BY ALL), ll AS (SELECT so.key, runs, tv.i, theta, coalesce(s, 0) - theta * on_ AS ll FROM so CROSS JOIN tv LEFT JOIN te ON te.key = so.key AND te.i = tv.i),
+pk AS (SELECT key, max(ll) AS peak FROM ll GROUP BY key)
+SELECT key, any_value(runs) AS runs, round(greatest(0.01, max(theta) FILTER (peak - ll <= 1.355)), 6) AS theta FROM ll JOIN pk USING (key) GROUP BY key""")
+def burstiness(spark: SparkSession, sf: str) -> DataFrame:
+    """How much longer sources stay quiet than their rates say, within a day."""
+    a = alerts(spark, sf).filter(F.floor(F.unix_seconds("ts") / 25200) % 3 == 0)
+    b = cube.baseline(cube.series(cube.hourly_cube(a), "agent"))
+    p = cube.profile(b)
+    size = cube.dispersion(b, p)
+    d = b.join(p, (b["key1"] == p["key1"]) & (F.pmod("slot", F.lit(24)) == p["hod"])).drop(p["key1"]).join(size, "key1")
+    hours = d.select(F.col("key1").alias("key"), "h", "n", (F.col("k") * F.log1p(F.col("mean") * F.col("weight") / F.col("k"))).alias("cost"), F.floor(F.col("h") / 24).alias("day"))
+    return habits.burstiness(habits.quiet_costs(hours, within_day=True)).withColumn("theta", r6(F.col("theta")))

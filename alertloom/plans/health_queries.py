@@ -340,7 +340,10 @@ def frequency_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return causes.correlated(alerts(spark, sf), 3, 86400).select("event_id", "rule_id", "src", "recent")
 
 
-@query(None)
+@query(f"""{WITH.replace("WITH", "WITH RECURSIVE", 1)}, s AS (SELECT rule_id, 'ls:' || ls AS subject, count(*) AS n, list(DISTINCT h) AS hours FROM a GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY n DESC, subject) AS i FROM s),
+g AS (SELECT DISTINCT rule_id, 0::BIGINT AS i, []::BIGINT[][] AS chosen, NULL::VARCHAR AS subject, NULL::BIGINT AS n, false AS took FROM o
+UNION ALL SELECT rule_id, i, CASE WHEN ok THEN list_append(chosen, hours) ELSE chosen END, subject, n, ok FROM (SELECT o.*, g.chosen, len(g.chosen) < 5 AND len(list_filter(g.chosen, lambda c: len(list_intersect(c, o.hours)) >= 0.8 * least(len(c), len(o.hours)))) = 0 AS ok FROM g JOIN o ON o.rule_id = g.rule_id AND o.i = g.i + 1))
+SELECT rule_id, subject, n, len(chosen) AS nth FROM g WHERE took""")
 def scope_selection(spark: SparkSession, sf: str) -> DataFrame:
     a = alerts(spark, sf)
     s = a.groupBy("rule_id", F.concat(F.lit("ls:"), "ls").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.floor(F.unix_seconds("ts") / 3600)).alias("hours"))

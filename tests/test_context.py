@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,26 @@ def test_surplus_explains_nothing(spark):
     p = spark.createDataFrame([("a", 10.0), ("b", 10.0), ("c", -1.0), ("d", 5.0)], "parent string, deficit double")
     k = spark.createDataFrame([("a", "x", 8.0), ("a", "y", -8.0), ("b", "x", 6.0), ("c", "x", 1.0)], "parent string, child string, deficit double")
     assert {r["parent"]: r["explained"] for r in habits.explained(p, k).collect()} == {"a": True, "b": False, "c": False, "d": False}
+
+
+def test_burstiness_against_a_fine_grid(spark):
+    rng = np.random.default_rng(5)
+    quiet = [("bursty", i, float(c), float(t)) for i, (c, t) in enumerate(zip(rng.uniform(4, 9, 30), rng.uniform(0.3, 1, 30), strict=True))]
+    quiet += [("plain", i, 0.1, 2.0) for i in range(12)] + [("few", i, 3.0, 1.0) for i in range(5)]
+    got = {r["key"]: r["theta"] for r in habits.burstiness(spark.createDataFrame(quiet, "key string, first long, on double, end double")).collect()}
+    assert set(got) == {"bursty", "plain"} and got["plain"] == 1.0
+    runs_ = sorted((c, t) for k, _, c, t in quiet if k == "bursty")
+    cap = runs_[26][0]
+    on, ends = sum(min(c, cap) for c, _ in runs_), np.array([t for _, t in runs_[:27]])
+    grid = np.exp(np.linspace(np.log(1e-6), 0, 200_001))
+    ll = np.array([-g * on + np.log(-np.expm1(-g * ends)).sum() for g in grid])
+    assert got["bursty"] == pytest.approx(max(0.01, grid[ll.max() - ll <= 1.355].max()), rel=0.004)
+
+
+def test_quiet_runs_end_with_their_day(spark):
+    n = [0, 2, 0, 0, 0, 1, 0, 0]
+    rows = [("a", h, c, float(h), h // 4) for h, c in enumerate(n)]
+    d = spark.createDataFrame(rows, "key string, h long, n long, cost double, day long")
+    assert sorted(map(tuple, habits.quiet_costs(d).collect())) == [("a", 2, 7.0, 5.0), ("a", 6, 7.0, 0.0)]
+    assert sorted(map(tuple, habits.quiet_costs(d, within_day=True).collect())) == [("a", 2, 3.0, 0.0), ("a", 6, 7.0, 0.0)]
+    assert habits.quiet_costs(d.limit(0)).count() == 0
