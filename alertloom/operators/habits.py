@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 # Events that the profile counts for in a slot of the week.
 SLOT_EVENTS = 1.0
@@ -142,7 +143,7 @@ def quiet_costs(hours: DataFrame, within_day: bool = False) -> DataFrame:
     return d.groupBy("key", "first").agg(F.sum(F.when((F.col("h") > F.col("first")) & same, F.col("cost")).otherwise(0.0)).alias("on"), F.max(F.when(ends, F.col("next_end")).otherwise(0.0)).alias("end"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likely_theta(on: pd.Series, ends: pd.Series) -> pd.Series:
     """The largest theta of THETAS whose likelihood is near the best: exp(-theta * on) for going on, 1 - exp(-theta * end) for each end.
 

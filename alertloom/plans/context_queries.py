@@ -11,7 +11,6 @@ from alertloom.operators.alerts import alerts, r6, table
 from alertloom.plans.noise_queries import WITH
 
 QUERIES: dict = {}
-I = F.col("event_id")  # noqa: E741
 
 
 def query(sql: str | None):
@@ -43,9 +42,9 @@ def durations(spark: SparkSession, sf: str) -> DataFrame:
 SELECT CASE WHEN event_id % 5 = 4 THEN NULL ELSE CASE event_id % 6 WHEN 0 THEN 'tp' WHEN 1 THEN 'fp' WHEN 2 THEN 'btp' WHEN 4 THEN 'untriaged' WHEN 5 THEN 'duplicate' END END AS verdict, count(*) AS n FROM x GROUP BY ALL""")
 def document_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts that alert documents carry: dotted, nested, under the older name, or none."""
-    said = _pick(["True Positive", " fp", "benign-positive", "closed by me", "AutoClosed", "Dup"], I % 6)
+    said = _pick(["True Positive", " fp", "benign-positive", "closed by me", "AutoClosed", "Dup"], F.col("event_id") % 6)
     shapes = ['{"kibana.alert.workflow_reason":"%s"}', '{"kibana":{"alert":{"workflow_reason":"%s"}}}', '{"signal":{"workflow_reason":"%s"}}', '{"kibana.alert.workflow_reason":7,"signal.workflow_reason":"%s"}', '{"other":"%s"}']
-    doc = F.replace(_pick(shapes, I % 5), F.lit("%s"), said)
+    doc = F.replace(_pick(shapes, F.col("event_id") % 5), F.lit("%s"), said)
     return alerts(spark, sf).select(context.document_verdict(doc).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -53,11 +52,11 @@ def document_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 count(*) FILTER (event_id % 5 = 3 OR event_id % 7 = 0 OR event_id % 7 IN (1, 2) AND event_id % 3 = 0) AS process, count(*) AS n FROM a GROUP BY rule_id""")
 def context_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts of alerts by rule: from groups, outcomes, and codes with their provider or channel."""
-    groups = F.array(F.lit("windows"), _pick(["Authentication_Failed", "syscheck", "sca", "audit_command", "web"], I % 5))
-    code = _pick(["4688", "1", " 1", "4624", None, "11", "3"], I % 7)
-    provider = F.when(I % 2 == 0, "Microsoft-Windows-Sysmon").otherwise(None)
-    channel = F.when(I % 2 == 0, None).otherwise("Microsoft-Windows-Sysmon/Operational")
-    d = alerts(spark, sf).select("rule_id", context.contexts(F.when(I % 10 != 4, groups), code, F.when(I % 3 == 0, provider), F.when(I % 3 == 0, channel), F.when(I % 4 == 1, "Failure")).alias("c"))
+    groups = F.array(F.lit("windows"), _pick(["Authentication_Failed", "syscheck", "sca", "audit_command", "web"], F.col("event_id") % 5))
+    code = _pick(["4688", "1", " 1", "4624", None, "11", "3"], F.col("event_id") % 7)
+    provider = F.when(F.col("event_id") % 2 == 0, "Microsoft-Windows-Sysmon").otherwise(None)
+    channel = F.when(F.col("event_id") % 2 == 0, None).otherwise("Microsoft-Windows-Sysmon/Operational")
+    d = alerts(spark, sf).select("rule_id", context.contexts(F.when(F.col("event_id") % 10 != 4, groups), code, F.when(F.col("event_id") % 3 == 0, provider), F.when(F.col("event_id") % 3 == 0, channel), F.when(F.col("event_id") % 4 == 1, "Failure")).alias("c"))
     return d.groupBy("rule_id").agg(*[F.count_if(F.col(f"c.{k}")).alias(k) for k in ("failure", "fim", "check", "process")], F.count(F.lit(1)).alias("n"))
 
 
@@ -110,7 +109,7 @@ _TP = "[('t1', 'user', ' ANN3'), ('t2', 'Host', 'u7'), ('t3', 'srcip', '10.0.0.2
 def confirmed_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events that true positives of a field apply to, under any name that the field may have."""
     a = alerts(spark, sf)
-    f = a.select("event_id", F.explode(F.array(F.struct(F.lit("data.dstuser").alias("field"), F.concat(F.lit("Ann"), F.col("k") % 10).alias("value")), F.struct(F.lit("agent.name").alias("field"), F.col("src").alias("value")), F.struct(F.lit("data.srcip").alias("field"), F.concat(F.lit("10.0.0."), I % 16).alias("value")))).alias("x")).select("event_id", "x.*")
+    f = a.select("event_id", F.explode(F.array(F.struct(F.lit("data.dstuser").alias("field"), F.concat(F.lit("Ann"), F.col("k") % 10).alias("value")), F.struct(F.lit("agent.name").alias("field"), F.col("src").alias("value")), F.struct(F.lit("data.srcip").alias("field"), F.concat(F.lit("10.0.0."), F.col("event_id") % 16).alias("value")))).alias("x")).select("event_id", "x.*")
     return verdicts.confirmed(f, spark.createDataFrame([("t1", "user", " ANN3"), ("t2", "Host", "u7"), ("t3", "srcip", "10.0.0.2"), ("t4", "agent.name", "U9 ")], "tp string, field string, value string"))
 
 
@@ -121,7 +120,7 @@ FROM c LEFT JOIN v ON v.rule_id = c.rule_id AND v.ls = c.ls AND (c.src IS NULL O
 def covered_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     """Verdicts on the alerts that a candidate's conditions would cover."""
     a = alerts(spark, sf)
-    v = a.filter(I % 3 == 0).select("rule_id", "src", "ls", F.when(I % 40 == 0, "tp").when(I % 2 == 0, "fp").otherwise("btp").alias("verdict"))
+    v = a.filter(F.col("event_id") % 3 == 0).select("rule_id", "src", "ls", F.when(F.col("event_id") % 40 == 0, "tp").when(F.col("event_id") % 2 == 0, "fp").otherwise("btp").alias("verdict"))
     cond = lambda *fs: F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fs])
     two = a.select("rule_id", "ls").distinct().select(F.concat_ws("|", "rule_id", "ls").alias("candidate"), cond("rule_id", "ls").alias("conditions"))
     three = a.filter("src < 'u13'").select("rule_id", "ls", "src").distinct().select(F.concat_ws("|", "rule_id", "ls", "src").alias("candidate"), cond("rule_id", "ls", "src").alias("conditions"))
@@ -151,7 +150,7 @@ SELECT place, kind FROM n ORDER BY r DESC, CASE kind WHEN 'opened' THEN 1 WHEN '
 def notices_sent(spark: SparkSession, sf: str) -> DataFrame:
     """The fifty notices that a message has room for."""
     sev = F.when(F.col("lvl") >= 13, "critical").when(F.col("lvl") >= 10, "high").when(F.col("lvl") >= 7, "medium").when(F.col("lvl") >= 5, "low").otherwise("info")
-    d = alerts(spark, sf).select(I.alias("place"), _pick(["reminder", "opened", "resolved", "escalated", "other"], I % 5).alias("kind"), sev.alias("severity"))
+    d = alerts(spark, sf).select(F.col("event_id").alias("place"), _pick(["reminder", "opened", "resolved", "escalated", "other"], F.col("event_id") % 5).alias("kind"), sev.alias("severity"))
     return runs.sent(d, 50).select("place", "kind")
 
 
@@ -178,6 +177,6 @@ o AS (SELECT ls, CASE WHEN m >= 20 AND abs(round_even(anchor / 900, 0) * 900) >=
 SELECT ls AS source, naive, count(*) AS n, max(CASE WHEN naive THEN off ELSE 0 END)::DOUBLE AS offset_s, round(avg(lag_s - CASE WHEN naive THEN off ELSE 0 END), 6) AS lag FROM l JOIN o USING (ls) GROUP BY ALL""")
 def zoned_lags(spark: SparkSession, sf: str) -> DataFrame:
     """Lags of samples without a zone, less the zone they must have been in."""
-    lag = (F.array(*map(F.lit, (2, 3600, 1234, -7200)))[(F.col("k") % 4).cast("int")] + I % 97 + F.when(I % 10 == 0, 40000).otherwise(0)).cast("long")
-    d = runs.zoned_lags(alerts(spark, sf).select(F.col("ls").alias("source"), lag.alias("lag_s"), (I % 3 > 0).alias("naive")))
+    lag = (F.array(*map(F.lit, (2, 3600, 1234, -7200)))[(F.col("k") % 4).cast("int")] + F.col("event_id") % 97 + F.when(F.col("event_id") % 10 == 0, 40000).otherwise(0)).cast("long")
+    d = runs.zoned_lags(alerts(spark, sf).select(F.col("ls").alias("source"), lag.alias("lag_s"), (F.col("event_id") % 3 > 0).alias("naive")))
     return d.groupBy("source", "naive").agg(F.count(F.lit(1)).alias("n"), F.max("offset_s").alias("offset_s"), r6(F.avg("lag_s")).alias("lag"))
