@@ -213,18 +213,26 @@ class Adam:
 
 
 def lanes_of(docs: list[np.ndarray], lanes: int = LANES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(inputs, targets) windows of documents laid end to end in lanes of equal length."""
+    """(inputs, targets) windows of documents laid end to end in lanes; every token is a target once.
+
+    The first lanes are a token longer where lengths can't be equal, so the last window may have them alone. A lane that starts
+    inside a document starts with a blank state.
+    """
     if not docs:
         return
     stream = np.concatenate(docs)
     lanes = max(1, min(lanes, len(stream) // WINDOW))
-    width = len(stream) // lanes
-    grid = stream[: width * lanes].reshape(lanes, width).T
+    width, longer = divmod(len(stream), lanes)
+    cut = longer * (width + 1)
+    first = stream[:cut].reshape(longer, width + 1).T
+    grid = np.concatenate([first[:width], stream[cut:].reshape(lanes - longer, width).T], 1)
     start = np.zeros(lanes, stream.dtype)
     for t in range(0, width, WINDOW):
         y = grid[t : t + WINDOW]
         x = np.concatenate([(grid[t - 1] if t else start)[None], y[:-1]])
         yield x, y
+    if longer:
+        yield first[width - 1 : width], first[width:]
 
 
 def train_on(m: dict[str, np.ndarray], blocks: Iterable[list[np.ndarray]], step: float, limit: int | None = None) -> tuple[dict[str, np.ndarray], int]:
@@ -233,7 +241,7 @@ def train_on(m: dict[str, np.ndarray], blocks: Iterable[list[np.ndarray]], step:
     for docs in blocks:
         h = None
         for x, y in lanes_of(docs):
-            h = np.zeros((HIDDEN, x.shape[1]), np.float32) if h is None else h
+            h = np.zeros((HIDDEN, x.shape[1]), np.float32) if h is None else h[:, : x.shape[1]]
             g, h = gradients(m, x, y, h)
             adam.update(g)
             seen += y.size
@@ -405,7 +413,8 @@ def score(docs: DataFrame) -> DataFrame:
     modulo 7 are held out of all counts and training. The model gives a word outside the network's own the probability of the
     "other" output times (c + 1) / (sum over all such words of c + 1, and 1 for the unseen), so probabilities of known and unseen
     add up to 1. Repeated rows count each; null doc_id is allowed; an empty table gives an empty result; other columns are ignored.
-    Words are taken as 64-bit hashes. Counts and training take all training documents; only the first fit takes a bounded sample.
+    Words are taken as 64-bit hashes. Counts and training take every token of all training documents; only the first fit takes a
+    bounded sample. Each task trains on its own rows, so scores depend a little on how the rows lie in partitions.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("text"))

@@ -624,6 +624,19 @@ def test_lm_is_a_distribution_and_carries_state(rng=np.random.default_rng(12)):
     assert abs(sum(step) - alone[3]) < 1e-3 * abs(alone[3])
 
 
+def test_lm_trains_on_every_token(rng=np.random.default_rng(13)):
+    for sizes in ((1,), (15, 1), (7, 300, 41), tuple(rng.integers(1, 90, 400))):
+        docs = [np.append(rng.integers(1, gru_lm.VOCAB, n - 1), 0) for n in sizes]
+        windows = list(gru_lm.lanes_of(docs))
+        stream = np.concatenate(docs)
+        assert np.array_equal(np.sort(np.concatenate([y.ravel() for _, y in windows])), np.sort(stream))
+        lane = [np.concatenate([y[:, k] for _, y in windows if k < y.shape[1]]) for k in range(windows[0][1].shape[1])]
+        assert np.array_equal(np.concatenate(lane), stream)
+        before = [np.concatenate([x[:, k] for x, _ in windows if k < x.shape[1]]) for k in range(len(lane))]
+        assert all(b[0] == 0 and np.array_equal(b[1:], y[:-1]) for b, y in zip(before, lane, strict=True))
+        assert gru_lm.train_on(gru_lm.new_model(), [docs], gru_lm.STEP)[1] == len(stream)
+
+
 def test_secrets_that_no_pattern_knows(spark, docs):
     r = np.random.default_rng(6)
     vocab = ["".join(r.choice(list("abcdefghilmnoprstu"), int(r.integers(2, 10)))) for _ in range(500)]
