@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertloom.functions.cuts import checkpointed
@@ -45,3 +45,17 @@ def audit(rules: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(F.col("missing") > 0, "missing_parent"), F.when(F.coalesce("description", F.lit("")) == "", "no_description"), F.when((F.col("twins") > 1) & (F.coalesce("conditions", F.lit("")) != ""), "duplicate"),
     ))
     return d.select("rule", F.array_join(issues, ",").alias("issues"), F.size(issues).alias("n_issues"))
+
+
+def trial_order(rules: DataFrame, edges: DataFrame) -> DataFrame:
+    """(parent, rule, nth, after): the order in which the children of a rule are tried, and how many come after each.
+
+    Higher levels go first, level 0 before all others of full accuracy; a rule with ``accuracy`` 0 counts a hundredth. Equals go by
+    ``position``. An edge holds only if the parent was loaded first; repeated edges count once.
+    """
+    rank = F.when(F.col("level") == 0, 99).otherwise(F.col("level")) * F.when(F.col("accuracy") == 0, 1).otherwise(100)
+    r = rules.select(F.col("rule").alias("child"), "position", rank.alias("rank"))
+    p = rules.select(F.col("rule").alias("parent"), F.col("position").alias("at"))
+    d = edges.select("parent", "child").distinct().join(p, "parent").join(r, "child").filter("at < position")
+    w = Window.partitionBy("parent")
+    return d.select("parent", F.col("child").alias("rule"), F.row_number().over(w.orderBy(F.desc("rank"), "position", "child")).alias("nth"), F.count(F.lit(1)).over(w).alias("n")).select("parent", "rule", "nth", (F.col("n") - F.col("nth")).alias("after"))
