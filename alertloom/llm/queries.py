@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertloom.llm import chat_format, embed_neardup, gru_lm, license_scan, line_dedup, mixing, ngram_join, packing, quality, secrets_crf
+from alertloom.llm import chat_format, embed_neardup, gru_lm, license_scan, line_dedup, merkle, mixing, ngram_join, packing, quality, secrets_crf, token_files, whitening
 from alertloom.llm.common import read
 
 
@@ -53,4 +53,18 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_near_dedup, op3_license_scan, op4_quality_rules, op5_chat_format, op6_source_mixing, op7_ngram_jaccard_join, op8_best_fit_packing, op9_secret_scan, op10_lm_scoring)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.read_back(spark, token_files.write(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_embedding_near_dedup, op3_license_scan, op4_quality_rules, op5_chat_format, op6_source_mixing, op7_ngram_jaccard_join, op8_best_fit_packing, op9_secret_scan, op10_lm_scoring, op11_token_files, op12_merkle_manifest, op13_embedding_whitening)}

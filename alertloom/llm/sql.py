@@ -118,4 +118,23 @@ SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(lo, w.
 FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN low ON w.doc_id = low.id LEFT JOIN same ON same.doc_id = w.doc_id LEFT JOIN firsts ON firsts.k = same.k
 """
 
-SQL = {"op1_line_dedup": OP1, "op2_embedding_near_dedup": OP2, "op3_license_scan": OP3, "op5_chat_format": OP5, "op6_source_mixing": OP6, "op7_ngram_jaccard_join": OP7}
+_part = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+_leaf12 = lambda n: "sha256(" + " || ".join(_part(c) for c in ("doc_id::VARCHAR", "source", "lang", f"{n}::VARCHAR", "text")) + ")"
+_crc = "list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1])), lambda a, b: CASE WHEN b >= 0 THEN xor(a, b) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, 4294967295)"
+_tree = lambda start: f"SELECT * FROM ({start}) UNION ALL SELECT g, l + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (max(n) + 1) // 2 FROM {{0}} WHERE n > 1 GROUP BY g, l, i // 2"
+_walk = lambda start, tree: f"SELECT * FROM ({start}) UNION ALL SELECT w.row, w.g, w.l + 1, w.i // 2, w.proof || coalesce(s.h, ''), sha256(CASE WHEN s.i < w.i THEN s.h || w.folded ELSE w.folded || coalesce(s.h, '') END), (w.n + 1) // 2 FROM {{0}} w LEFT JOIN {tree} s ON s.g = w.g AND s.l = w.l AND s.i = xor(w.i, 1) WHERE w.n > 1"
+OP12 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce('=' || lang, '') AS g, {_leaf12("n_chars")} AS leaf,
+    CASE WHEN n_chars IS NOT NULL AND doc_id IS NOT NULL AND xor({_crc}, 4294967295) % 7 = 0 THEN {_leaf12("(n_chars + 1)")} END AS bad FROM documents
+), p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM d),
+tree AS ({_tree("SELECT g, 0 AS l, i, leaf AS h, n FROM p").format("tree")}),
+sub AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM tree WHERE n = 1),
+over_tree AS ({_tree("SELECT '' AS g, 0 AS l, i, h, n FROM sub").format("over_tree")}),
+walk AS ({_walk("SELECT row, g, 0 AS l, i, '' AS proof, coalesce(bad, leaf) AS folded, n FROM p", "tree").format("walk")}),
+over_walk AS ({_walk("SELECT w.row, '' AS g, 0 AS l, sub.i, w.proof, w.folded, sub.n FROM walk w JOIN sub USING (g) WHERE w.n = 1", "over_tree").format("over_walk")})
+SELECT p.doc_id, p.leaf, sub.h AS subroot, r.h AS root, sha256(o.proof) AS proof_sha256, o.folded AS folded_root, o.folded = r.h AS verified
+FROM p JOIN sub USING (g) JOIN over_walk o ON o.row = p.row AND o.n = 1, (SELECT h FROM over_tree WHERE n = 1) r
+"""
+
+SQL = {"op1_line_dedup": OP1, "op2_embedding_near_dedup": OP2, "op3_license_scan": OP3, "op5_chat_format": OP5, "op6_source_mixing": OP6, "op7_ngram_jaccard_join": OP7, "op12_merkle_manifest": OP12}
