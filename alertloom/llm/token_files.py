@@ -24,9 +24,11 @@ from alertloom.llm.common import shared_dir, stash, unstash
 
 #: Id that ends each document.
 END = 2
-#: Bytes of text that are cut and encoded at a time (a longer text is taken alone), and distinct pieces whose ids a task remembers.
-CHUNK = 8 << 20
-REMEMBERED = 1 << 20
+#: Bytes of text that are cut at a time (a longer text is taken alone), distinct pieces whose ids a worker remembers, and pieces that the
+#: tokenizer takes at a time.
+CHUNK = 2 << 20
+REMEMBERED = 1 << 19
+AT_ONCE = 1 << 13
 #: Documents in a batch of what is read back.
 READ_ROWS = 8192
 SHARD = "shard int, n_docs long, n_nulls long, n_ids long, width int"
@@ -115,7 +117,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids, self.lengths = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)]
+        self.ids, self.lengths = np.zeros(0, self.dtype), np.zeros(0, np.int64)
 
     def numbers(self, distinct: list[bytes]) -> np.ndarray:
         """Places of these pieces among the remembered ones; the tokenizer sees those that are new."""
@@ -123,10 +125,13 @@ class Encoder:
             self.forget()
         new = [p for p in distinct if p not in self.known]
         if new:
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
+            ids, lengths = [self.ids], [self.lengths]
+            for lo in range(0, len(new), AT_ONCE):
+                found = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in new[lo : lo + AT_ONCE]], add_special_tokens=False)]
+                ids.append(np.fromiter((i for x in found for i in x), self.dtype))
+                lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.ids = [np.concatenate([*self.ids, *[np.asarray(x, self.dtype) for x in found]])]
-            self.lengths = [np.concatenate([*self.lengths, [len(x) for x in found]]).astype(np.int64)]
+            self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
         return np.fromiter((self.known[p] for p in distinct), np.int64, len(distinct))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +153,10 @@ class Encoder:
             place = place[which]
         else:
             place = np.zeros(0, np.int64)
-        length = self.lengths[0][place]
+        length = self.lengths[place]
         ends = np.append(0, np.cumsum(length))
-        first = np.cumsum(self.lengths[0]) - self.lengths[0]
-        flat = self.ids[0][np.repeat(first[place] - ends[:-1], length) + np.arange(ends[-1])]
+        first = np.cumsum(self.lengths) - self.lengths
+        flat = self.ids[np.repeat(first[place] - ends[:-1], length) + np.arange(ends[-1])]
         # Ids before the end of each text, then one end id for each.
         stop = ends[np.searchsorted(bounds[::2], offsets[1:])]
         return np.insert(flat, stop, self.end).astype(self.dtype), stop + np.arange(1, len(stop) + 1)
