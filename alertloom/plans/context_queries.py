@@ -60,15 +60,16 @@ def context_flags(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("rule_id").agg(*[F.count_if(F.col(f"c.{k}")).alias(k) for k in ("failure", "fim", "check", "process")], F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{WITH}, x AS (SELECT event_id % 8 AS i, user_id FROM events)
-SELECT CASE WHEN i IN (0, 1) THEN 'ip' WHEN i IN (2, 3) THEN 'user' ELSE 'host' END AS kind, CASE WHEN i IN (0, 1) THEN '203.0.113.' || user_id % 9 WHEN i IN (2, 3) THEN 'ann' || user_id % 9 WHEN i = 4 THEN '10.0.0.' || user_id % 9 ELSE 'srv-' || user_id % 9 END AS key, count(*) AS n
-FROM x WHERE i < 6 GROUP BY ALL""")
+@query(f"""{WITH}, x AS (SELECT event_id % 10 AS i, user_id FROM events)
+SELECT CASE WHEN i IN (0, 1, 8, 9) THEN 'ip' WHEN i IN (2, 3) THEN 'user' ELSE 'host' END AS kind, CASE WHEN i IN (0, 1) THEN '203.0.113.' || user_id % 9 WHEN i IN (2, 3) THEN 'ann' || user_id % 9 WHEN i = 4 THEN '10.0.0.' || user_id % 9 WHEN i > 7 THEN '2001:db8::1:' || user_id % 9 ELSE 'srv-' || user_id % 9 END AS key, count(*) AS n
+FROM x WHERE i NOT IN (6, 7) GROUP BY ALL""")
 def link_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Entities that link alerts, spelled in one way; generic ones link none."""
     e = table(spark, sf, "events")
-    i, m = F.col("event_id") % 8, (F.col("user_id") % 9).cast("string")
-    role = _pick(["src_ip", "src_ip", "user", "user", "host", "host", "user", "src_ip"], i)
-    value = F.when(i == 6, "NT AUTHORITY\\SYSTEM").when(i == 7, " ::1").otherwise(F.concat(_pick(["203.0.113.", "::FFFF:203.0.113.", "CORP\\Ann", "ann", "10.0.0.", "SRV-"], i), m, F.coalesce(_pick(["", "", "", "@corp.example", "", ".corp.example"], i), F.lit(""))))
+    i, m = F.col("event_id") % 10, (F.col("user_id") % 9).cast("string")
+    role = _pick(["src_ip", "src_ip", "user", "user", "host", "host", "user", "src_ip", "peer_ip", "source"], i)
+    ends = _pick(["", "", "", "@corp.example", "", ".corp.example", "", "", "", ""], i)
+    value = F.when(i == 6, "NT AUTHORITY\\SYSTEM").when(i == 7, " ::1").otherwise(F.concat(_pick(["203.0.113.", "::FFFF:203.0.113.", "CORP\\Ann", "ann", "10.0.0.", "SRV-", "", "", "2001:0DB8:0:0:0::1:", "2001:db8:0:0:0:0:1:000"], i), m, ends))
     d = e.select(context.link_kind(role, value).alias("kind"), value.alias("value")).filter("kind is not null")
     return d.select("kind", context.link_key(F.col("kind"), F.col("value")).alias("key")).groupBy("kind", "key").agg(F.count(F.lit(1)).alias("n"))
 

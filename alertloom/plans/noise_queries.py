@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertloom.functions import addresses
 from alertloom.functions import scalars as fn
 from alertloom.operators import noise
 from alertloom.operators.alerts import alerts, r6
@@ -117,15 +118,19 @@ def host_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return noise.host_pairs(alerts(spark, sf))
 
 
-_ip = "(CASE WHEN k % 3 = 0 THEN '10.' ELSE '203.' END || (k % 200) || '.' || (event_id % 250) || '.' || (k % 7 * 50))"
+_ip = "(CASE WHEN event_id % 4 = 3 THEN ['2001:db8::', 'fd12:0:0::', '::ffff:10.0.0.', '::FFFF:198.51.100.', '2001:db8::1::'][k % 5 + 1] || (event_id % 250) ELSE CASE WHEN k % 3 = 0 THEN '10.' ELSE '203.' END || (k % 200) || '.' || (event_id % 250) || '.' || (k % 7 * 50) END)"
+_four = "((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 
-@query(f"""{WITH}, i AS (SELECT src, {_ip} AS ip FROM a) SELECT src, count(*) AS n,
-count(*) FILTER (regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') AND NOT starts_with(ip, '10.')) AS external,
-round(count(*) FILTER (regexp_full_match(ip, '((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\\.){{3}}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])') AND NOT starts_with(ip, '10.')) / count(*), 6) AS share FROM i GROUP BY src""")
+@query(f"""{WITH}, i AS (SELECT src, event_id % 4 = 3 AS six, k, {_ip} AS ip FROM a), e AS (SELECT src, CASE WHEN six THEN k % 5 IN (0, 3) ELSE regexp_full_match(ip, '{_four}') AND NOT starts_with(ip, '10.') END AS external FROM i)
+SELECT src, count(*) AS n, count(*) FILTER (external) AS external, round(count(*) FILTER (external) / count(*), 6) AS share FROM e GROUP BY src""")
 def external_share(spark: SparkSession, sf: str) -> DataFrame:
-    a = alerts(spark, sf).withColumn("ip", F.concat(F.when(F.col("k") % 3 == 0, "10.").otherwise("203."), F.col("k") % 200, F.lit("."), F.col("event_id") % 250, F.lit("."), F.col("k") % 7 * 50))
-    return noise.external_share(a, fn.ip_kind(F.col("ip")) == "external").withColumn("share", r6(F.col("share")))
+    """Share of a host's alerts from outside, over both families of addresses, mapped, shortened and misspelt ones."""
+    k, e = F.col("k"), F.col("event_id")
+    six = F.concat(F.array(*map(F.lit, ("2001:db8::", "fd12:0:0::", "::ffff:10.0.0.", "::FFFF:198.51.100.", "2001:db8::1::")))[(k % 5).cast("int")], e % 250)
+    four = F.concat(F.when(k % 3 == 0, "10.").otherwise("203."), k % 200, F.lit("."), e % 250, F.lit("."), k % 7 * 50)
+    a = alerts(spark, sf).withColumn("ip", F.when(e % 4 == 3, six).otherwise(four))
+    return noise.external_share(a, addresses.kind(F.col("ip")) == "external").withColumn("share", r6(F.col("share")))
 
 
 @query(f"""{WITH}, g AS (SELECT rule_id, src, us / 1e6 - lag(us / 1e6) OVER (PARTITION BY rule_id, src ORDER BY ts, event_id) AS gap FROM a),
