@@ -48,15 +48,15 @@ def document_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     return alerts(spark, sf).select(context.document_verdict(doc).alias("verdict")).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""{WITH} SELECT rule_id, count(*) FILTER (event_id % 5 = 0 OR event_id % 4 = 1) AS failure, count(*) FILTER (event_id % 5 = 1) AS fim, count(*) FILTER (event_id % 5 = 2) AS check,
-count(*) FILTER (event_id % 5 = 3 OR event_id % 7 = 0 OR event_id % 7 IN (1, 2) AND event_id % 3 = 0) AS process, count(*) AS n FROM a GROUP BY rule_id""")
+@query(f"""{WITH} SELECT rule_id, count(*) FILTER (event_id % 5 = 0 OR event_id % 4 = 1) AS failure, count(*) FILTER (event_id % 5 = 1 AND event_id % 10 <> 4 OR event_id % 11 IN (2, 3)) AS fim, count(*) FILTER (event_id % 5 = 2) AS check,
+count(*) FILTER (event_id % 5 = 3 OR event_id % 7 = 0 OR event_id % 7 IN (1, 2) AND event_id % 3 = 0 OR event_id % 13 = 0) AS process, count(*) AS n FROM a GROUP BY rule_id""")
 def context_flags(spark: SparkSession, sf: str) -> DataFrame:
     """Contexts of alerts by rule: from groups, outcomes, and codes with their provider or channel."""
     groups = F.array(F.lit("windows"), _pick(["Authentication_Failed", "syscheck", "sca", "audit_command", "web"], F.col("event_id") % 5))
     code = _pick(["4688", "1", " 1", "4624", None, "11", "3"], F.col("event_id") % 7)
     provider = F.when(F.col("event_id") % 2 == 0, "Microsoft-Windows-Sysmon").otherwise(None)
     channel = F.when(F.col("event_id") % 2 == 0, None).otherwise("Microsoft-Windows-Sysmon/Operational")
-    d = alerts(spark, sf).select("rule_id", context.contexts(F.when(F.col("event_id") % 10 != 4, groups), code, F.when(F.col("event_id") % 3 == 0, provider), F.when(F.col("event_id") % 3 == 0, channel), F.when(F.col("event_id") % 4 == 1, "Failure")).alias("c"))
+    d = alerts(spark, sf).select("rule_id", context.contexts(F.when(F.col("event_id") % 10 != 4, groups), code, F.when(F.col("event_id") % 3 == 0, provider), F.when(F.col("event_id") % 3 == 0, channel), F.when(F.col("event_id") % 4 == 1, "Failure"), _pick([None, "system", "file_integrity", "FIM-x", *[None] * 7], F.col("event_id") % 11), F.when(F.col("event_id") % 13 < 2, F.array(F.lit("host"), F.lit("Process"))), F.when(F.col("event_id") % 13 == 0, F.array(F.lit("start"))).otherwise(F.array(F.lit("end")))).alias("c"))
     return d.groupBy("rule_id").agg(*[F.count_if(F.col(f"c.{k}")).alias(k) for k in ("failure", "fim", "check", "process")], F.count(F.lit(1)).alias("n"))
 
 

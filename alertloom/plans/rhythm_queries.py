@@ -121,17 +121,32 @@ _CHANNELS = "['Security', 'Microsoft-Windows-Sysmon/Operational', 'System', ''][
 _RULE = "['202', '204', '506', '5710', '504'][event_id % 5 + 1]"
 
 
-@query(f"""{WITH}, x AS (SELECT src, s, trim({_CODES}) AS code, lower({_CHANNELS}) AS ch, {_RULE} AS rule, CASE WHEN k % 2 = 0 THEN 'windows' ELSE 'linux' END AS os FROM a),
-p AS (SELECT src, s, coalesce(CASE WHEN contains(ch, 'sysmon') THEN CASE code WHEN '4' THEN 'sysmon_4' WHEN '16' THEN 'sysmon_16' END
+_AUDIT = "CASE event_id % 7 WHEN 3 THEN 'daemon_end ' WHEN 5 THEN 'SYSCALL' WHEN 6 THEN 'CONFIG_CHANGE' END"
+_NAMED = "CASE WHEN event_id % 3 = 0 THEN 'x: Agent stopped: ''0' || (10 + user_id) || '-u' || (user_id + 1) || '-any''.' WHEN event_id % 3 = 1 THEN 'ossec: Agent disconnected: ''u' || user_id || '->10.0.0.1''.' END"
+
+
+@query(f"""{WITH}, x AS (SELECT a.src, s, user_id, a.event_id, trim({_CODES.replace("event_id", "a.event_id")}) AS code, lower({_CHANNELS.replace("event_id", "a.event_id")}) AS ch, CASE WHEN a.event_id % 11 < 6 THEN {_RULE.replace("event_id", "a.event_id")} ELSE '80700' END AS rule, CASE WHEN k % 2 = 0 THEN 'windows' ELSE 'linux' END AS os,
+  a.event_id % 13 = 4 AS audited, {_AUDIT.replace("event_id", "a.event_id")} AS audit, {_NAMED.replace("event_id", "a.event_id")} AS said, a.event_id % 2 = 0 AS manager FROM a JOIN events e ON e.event_id = a.event_id),
+p AS (SELECT *, coalesce(CASE WHEN contains(ch, 'sysmon') THEN CASE code WHEN '4' THEN 'sysmon_4' WHEN '16' THEN 'sysmon_16' END
   WHEN code IN ('1102', '4719') AND (contains(ch, 'security') OR ch = '' AND os = 'windows') THEN 'win_' || code WHEN code = '104' AND contains(ch, 'system') AND NOT contains(ch, 'security') THEN 'win_104' END,
-  CASE WHEN rule <> '5710' THEN 'wazuh_' || rule END) AS code FROM x)
-SELECT src AS host, code, count(*) AS n, max(s) AS last_s FROM p WHERE code IS NOT NULL GROUP BY ALL""")
+  CASE WHEN rule NOT IN ('5710', '80700') THEN 'wazuh_' || rule END, CASE WHEN audited THEN 'auditd_config' END, CASE upper(trim(audit)) WHEN 'DAEMON_END' THEN 'auditd_stop' WHEN 'CONFIG_CHANGE' THEN 'auditd_config' END) AS name FROM x),
+h AS (SELECT src AS host, name AS code, s FROM p WHERE name IS NOT NULL
+  UNION ALL SELECT 'u' || (user_id + 1), name, s FROM p WHERE event_id % 3 = 0 AND (name = 'wazuh_504' OR name = 'wazuh_506' AND manager))
+SELECT host, code, count(*) AS n, max(s) AS last_s FROM h GROUP BY ALL""")
 def precursor_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Events that often precede a silence, by code and channel or by rule."""
+    """Events that often precede a silence, by code and channel, rule, group or audit record, also of hosts that a message names."""
     i = F.col("event_id")
     pick = lambda xs, n: F.array(*[F.lit(x) for x in xs])[n.cast("int")]
-    a = alerts(spark, sf).select("src", "ts", pick(["1102", "104", "4719", "4", " 16 ", "4624"], i % 6).alias("code"), pick(["Security", "Microsoft-Windows-Sysmon/Operational", "System", ""], F.floor(i / 6) % 4).alias("ch"), pick(["202", "204", "506", "5710", "504"], i % 5).alias("rule"), F.when(F.col("k") % 2 == 0, "windows").otherwise("linux").alias("os"))
-    p = a.select(F.col("src").alias("host"), "ts", kinds.precursor(F.col("code"), F.col("ch"), F.col("rule"), F.col("os")).alias("code")).filter("code is not null")
+    user = F.substring("src", 2, 9).cast("long")
+    said = F.when(i % 3 == 0, F.concat(F.lit("x: Agent stopped: '0"), user + 10, F.lit("-u"), user + 1, F.lit("-any'."))).when(i % 3 == 1, F.concat(F.lit("ossec: Agent disconnected: '"), "src", F.lit("->10.0.0.1'.")))
+    a = alerts(spark, sf).select(
+        "src", "ts", pick(["1102", "104", "4719", "4", " 16 ", "4624"], i % 6).alias("code"), pick(["Security", "Microsoft-Windows-Sysmon/Operational", "System", ""], F.floor(i / 6) % 4).alias("ch"),
+        F.when(i % 11 < 6, pick(["202", "204", "506", "5710", "504"], i % 5)).otherwise("80700").alias("rule"), F.when(F.col("k") % 2 == 0, "windows").otherwise("linux").alias("os"),
+        F.when(i % 13 == 4, F.array(F.lit("audit"), F.lit("audit_configuration"))).alias("groups"), pick([None, None, None, "daemon_end ", None, "SYSCALL", "CONFIG_CHANGE"], i % 7).alias("audit"), said.alias("said"), F.when(i % 2 == 0, "000").otherwise("007").alias("id"),
+    )
+    name = kinds.precursor(*map(F.col, ("code", "ch", "rule", "os", "groups", "audit")))
+    p = a.withColumn("name", name).filter("name is not null")
+    p = p.select(F.explode(kinds.precursor_hosts(*map(F.col, ("src", "name", "id", "said")))).alias("host"), F.col("name").alias("code"), "ts")
     return p.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"), F.unix_seconds(F.max("ts")).alias("last_s"))
 
 
@@ -141,11 +156,16 @@ def flooded_agents(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.flooding(alerts(spark, sf).select(F.col("src").alias("host"), F.unix_seconds("ts").alias("at_s"), rule.alias("rule")))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'windows' WHEN 1 THEN 'linux' WHEN 2 THEN 'darwin' WHEN 3 THEN 'network' WHEN 4 THEN 'windows' WHEN 5 THEN 'darwin' WHEN 6 THEN 'linux' END AS platform FROM part""")
+_OS = (" Windows Server 2022", "Ubuntu", "macOS", "firewall", None, None, None, "plan9", "rocky", "Kali", "raspbian", "ol", "Arch", "gentoo", "oracle", "win64", "Darwin ", "switch", "Red Hat Linux 9")
+_OS_PATHS = ("/x", None, None, None, "C:\\x", "/Library/x", None, None, None, None, None, None, None, None, None, None, None, None, None)
+
+
+@query(f"""SELECT p_partkey, ['windows', 'linux', 'darwin', 'network', 'windows', 'darwin', 'linux', NULL, 'linux', 'linux', 'linux', 'linux', 'linux', 'linux', 'linux', 'windows', 'darwin', 'network', 'linux'][p_partkey % {len(_OS)} + 1] AS platform FROM part""")
 def platform_inference(spark: SparkSession, sf: str) -> DataFrame:
-    i = (F.col("p_partkey") % 8).cast("int")
-    pick = lambda *xs: F.array(*[F.lit(x).cast("string") for x in xs])[i]
-    return table(spark, sf, "part").select("p_partkey", kinds.platform(pick(" Windows Server 2022", "Ubuntu", "macOS", "firewall", None, None, None, "plan9"), pick("/x", None, None, None, "C:\\x", "/Library/x", None, None), pick(None, None, None, None, "journald", None, "/var/log/x", "other")).alias("platform"))
+    i = (F.col("p_partkey") % len(_OS)).cast("int")
+    pick = lambda xs: F.array(*[F.lit(x).cast("string") for x in xs])[i]
+    channels = [None, None, None, None, "journald", None, "/var/log/x", "other", *[None] * 11]
+    return table(spark, sf, "part").select("p_partkey", kinds.platform(pick(_OS), pick(_OS_PATHS), pick(channels)).alias("platform"))
 
 
 @query("""SELECT c_custkey, CASE c_custkey % 10 WHEN 0 THEN 'alone' WHEN 1 THEN 'alone' WHEN 2 THEN 'attacker' WHEN 3 THEN 'paired' WHEN 4 THEN 'attacker' WHEN 5 THEN 'paired' WHEN 6 THEN 'never' WHEN 7 THEN 'paired' WHEN 8 THEN 'attacker' ELSE 'attacker' END AS kind FROM customer""")
