@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,30 +26,47 @@ def _groups(c: Column) -> Column:
     return F.transform(F.array_remove(F.split(c, ":"), ""), lambda g: F.lpad(g, 4, "0"))
 
 
+def let(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def address(c: Column) -> Column:
     """The 32 hex digits of an IPv4 or IPv6 address (its zone left out), null for other text, padded text among it."""
-    c = F.regexp_replace(c, "^([^%]*:[^%]*)%[^%]+$", "$1")
-    four = F.when(c.rlike(rf"^{DOTTED}$"), F.concat(F.lit(MAPPED), _dotted_hex(c)))
-    tail = F.regexp_extract(c, rf":({DOTTED})$", 1)
-    dotted = _dotted_hex(tail)
-    low = F.lower(F.when(tail != "", F.concat(F.regexp_replace(c, rf"{DOTTED}$", ""), F.substring(dotted, 1, 4), F.lit(":"), F.substring(dotted, 5, 4))).otherwise(c))
-    gap = low.contains("::")
-    left, right = _groups(F.split(low, "::")[0]), F.when(gap, _groups(F.get(F.split(low, "::"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    missing = 8 - F.size(left) - F.size(right)
-    shaped = low.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$") & low.contains(":")
-    whole = F.when(gap, missing >= 1).otherwise(missing == 0)
-    zeros = F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
-    return F.coalesce(four, F.when(shaped & whole, F.array_join(F.concat(left, zeros, right), "")))
+
+    def six(low: Column) -> Column:
+        shaped = low.rlike(r"^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?)?$")
+        sides = F.struct(_groups(F.split(low, "::")[0]).alias("left"), F.coalesce(_groups(F.get(F.split(low, "::"), F.lit(1))), F.array().cast("array<string>")).alias("right"), low.contains("::").alias("gap"))
+        return F.when(shaped, let(sides, whole))
+
+    def whole(s: Column) -> Column:
+        missing = 8 - F.size(s["left"]) - F.size(s["right"])
+        zeros = F.array_repeat(F.lit("0000"), F.greatest(missing, F.lit(0)))
+        return F.when(F.when(s["gap"], missing >= 1).otherwise(missing == 0), F.array_join(F.concat(s["left"], zeros, s["right"]), ""))
+
+    def either(t: Column) -> Column:
+        mixed = let(_dotted_hex(F.regexp_extract(t, rf":({DOTTED})$", 1)), lambda d: F.concat(F.regexp_replace(t, rf"{DOTTED}$", ""), F.substring(d, 1, 4), F.lit(":"), F.substring(d, 5, 4)))
+        low = F.lower(F.when(t.rlike(rf":{DOTTED}$"), mixed).otherwise(t))
+        return F.when(t.rlike(rf"^{DOTTED}$"), F.concat(F.lit(MAPPED), _dotted_hex(t))).when(t.contains(":"), let(low, six))
+
+    return let(F.regexp_replace(c, "^([^%]*:[^%]*)%[^%]+$", "$1"), either)
 
 
 def plain(digits: Column) -> Column:
     """The usual spelling of ``address``: dotted where it is IPv4, else the shortest form of IPv6."""
-    octets = [F.conv(F.substring(digits, 25 + 2 * i, 2), 16, 10) for i in range(4)]
-    groups = F.concat_ws(":", *[F.regexp_replace(F.substring(digits, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)])
-    # the first of the longest runs of zero groups, two at least, is left out
-    zeros = lambda n: rf"(^|:)0(?::0){{{n - 1}}}(?=:|$)"
-    short = F.coalesce(*[F.when(groups.rlike(zeros(n)), F.regexp_replace(groups, f"^((?:(?!{zeros(n)}).)*){zeros(n)}", "$1::")) for n in range(8, 1, -1)], groups)
-    return F.when(digits.startswith(MAPPED), F.concat_ws(".", *octets)).when(digits.isNotNull(), F.regexp_replace(short, ":{3,}", "::"))
+
+    def spelled(d: Column) -> Column:
+        octets = [F.conv(F.substring(d, 25 + 2 * i, 2), 16, 10) for i in range(4)]
+        groups = F.concat_ws(":", *[F.regexp_replace(F.substring(d, 1 + 4 * i, 4), "^0{1,3}", "") for i in range(8)])
+        return F.when(d.startswith(MAPPED), F.concat_ws(".", *octets)).when(d.isNotNull(), let(groups, short))
+
+    def short(groups: Column) -> Column:
+        # the first of the longest runs of zero groups, two at least, is left out
+        zeros = lambda n: rf"(^|:)0(?::0){{{n - 1}}}(?=:|$)"
+        out = F.coalesce(*[F.when(groups.rlike(zeros(n)), F.regexp_replace(groups, f"^((?:(?!{zeros(n)}).)*){zeros(n)}", "$1::")) for n in range(8, 1, -1)], groups)
+        return F.regexp_replace(out, ":{3,}", "::")
+
+    return let(digits, spelled)
 
 
 def inside(digits: Column, networks: Sequence[str]) -> Column:
@@ -76,5 +93,4 @@ def _merged(spans: list[tuple[str, str]]) -> list[tuple[str, str]]:
 
 def kind(c: Column, networks: Sequence[str] = INTERNAL_NETWORKS) -> Column:
     """internal, external or invalid, of either family; IPv4 also where it is mapped into IPv6."""
-    digits = address(c)
-    return F.when(digits.isNull(), "invalid").when(inside(digits, networks), "internal").otherwise("external")
+    return let(address(c), lambda d: F.when(d.isNull(), "invalid").when(inside(d, networks), "internal").otherwise("external"))
