@@ -1,5 +1,7 @@
 """The rhythm of a source as one model, and the tests of silence, drops and declines against it.
 
+Sums are rounded to nine places before they are held against a bound, so the order in which Spark adds them up decides nothing.
+
 Local clock, spikes held down, duty, an hour-of-week profile shrunk to that of the peers, scale, hourly and daily dispersion, days off
 and how they go on; then P0 of the gap since the last event, the lower tail of a drop's window and of what follows its change point, and
 the lower tail of declining days. Counts are read once and sparse; a key has 168 slots, its days, and its last hours, never all hours.
@@ -128,7 +130,7 @@ def fit(counts: DataFrame, spine: DataFrame, end: int) -> tuple[DataFrame, DataF
     counts = counts.filter(F.col("h") < end)
     days = checkpointed(key_days(counts, spine, end))
     s = checkpointed(profile(slots(counts, spine, days)))
-    daily = s.groupBy("key", "dow").agg(F.avg("shape").alias("f"), F.sum("r").alias("raw_day"))
+    daily = s.groupBy("key", "dow").agg(F.avg("shape").alias("f"), F.round(F.sum("r"), 9).alias("raw_day"))
     base = days.filter("base").join(daily, ["key", "dow"])
     fair = base.withColumn("fair", F.col("f") >= DAY_SHARE).withColumn("any", F.max("fair").over(_over("key"))).filter("fair or not any")
     scale = _trimmed(fair.withColumn("x", F.when(F.col("fair"), F.col("n") / F.col("f")).otherwise(F.col("n")))).filter("scale > 0")
@@ -183,7 +185,7 @@ def duty_and_days_off(base: DataFrame, m: DataFrame) -> DataFrame:
 
 def stays(days: DataFrame, s: DataFrame, keys: DataFrame) -> DataFrame:
     """(peers, after, stay): how likely the peers stay off after so many days off, from their runs of days off."""
-    raw = s.groupBy("key", "dow").agg(F.sum("r").alias("raw_day"))
+    raw = s.groupBy("key", "dow").agg(F.round(F.sum("r"), 9).alias("raw_day"))
     d = days.filter("base").join(raw, ["key", "dow"]).join(keys.select("key", "peers"), "key").select("key", "peers", "day", F.col("n").cast("double").alias("n"), F.col("raw_day").alias("expected"))
     runs = rhythm.days_off(d.select("key", "day", "n", "expected")).join(keys.select("key", "peers"), "key")
     due = d.filter(F.col("expected") >= rhythm.ELIGIBLE)
@@ -220,7 +222,7 @@ def silent(s: DataFrame, keys: DataFrame, spine: DataFrame, end: int, stay: Data
     last_day = spine.select(F.col("h").alias("key_last"), F.col("day").alias("last_day"))
     day = day.join(F.broadcast(last_day), "key_last", "left").withColumn("later", ~F.coalesce(F.col("day") == F.col("last_day"), F.lit(False)))
     so_far = Window.partitionBy("key", "shift", "model").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    day = day.withColumn("before", F.coalesce(F.sum(F.when(F.col("later") & (F.col("lam") >= rhythm.ELIGIBLE), 1).otherwise(0)).over(so_far), F.lit(0)))
+    day = day.withColumn("before", F.coalesce(F.sum(F.when(F.col("later") & (F.round("lam", 9) >= rhythm.ELIGIBLE), 1).otherwise(0)).over(so_far), F.lit(0)))
     if stay is not None:
         day = day.withColumn("after", F.least(F.col("before"), F.lit(habits.CURVE_DAYS)).cast("long")).join(F.broadcast(stay), ["peers", "after"], "left")
     else:
@@ -317,7 +319,7 @@ def dropped(counts: DataFrame, s: DataFrame, keys: DataFrame, spine: DataFrame,
 
     def rows(part: int, o: str, e: str, sq: str, hours: str, upto: str, which: DataFrame) -> DataFrame:
         size, days = F.col(e) * F.col(e) * F.col("k") / F.col(sq), F.greatest(F.lit(1.0), F.col(hours) / 24.0)
-        due = per_day(upto).join(which.select("key", F.col(e).alias("all")), "key").filter(F.col("e") >= F.greatest(F.lit(rhythm.ELIGIBLE), 0.1 * F.col("all"))).groupBy("key").agg(F.count(F.lit(1)).alias("low_days"))
+        due = per_day(upto).join(which.select("key", F.col(e).alias("all")), "key").filter(F.round("e", 9) >= F.round(F.greatest(F.lit(rhythm.ELIGIBLE), 0.1 * F.col("all")), 9)).groupBy("key").agg(F.count(F.lit(1)).alias("low_days"))
         wide = F.col("day_sigma") >= LEAST_SIGMA
         d = which.join(due, "key", "left").na.fill(0, ["low_days"])
         return d.select(
@@ -361,7 +363,7 @@ def declined(days: DataFrame, keys: DataFrame) -> DataFrame:
     r = r.withColumn("ratio", ratio).filter(F.when(seven, (ratio < DECLINE_RATIO) & (F.col("now") < DECLINE_RATIO * F.col("usual"))).otherwise(ratio < DROP_RATIO))
     rows = r.select(
         "key", "span", "ratio", "observed", "mean", (F.col("k") * 24.0 * F.col("days")).alias("size"), F.sqrt(F.log1p(F.col("sq") * F.col("cv2") / (F.col("mean") * F.col("mean")))).alias("sigma"), (F.col("ref_days") - 1.0).alias("dof"),
-        F.greatest("pi_off", "pi_low").alias("pi"), F.size(F.filter("each", lambda e: e >= F.greatest(F.lit(rhythm.ELIGIBLE), 0.1 * F.col("mean")))).cast("long").alias("low_days"),
+        F.greatest("pi_off", "pi_low").alias("pi"), F.size(F.filter("each", lambda e: F.round(e, 9) >= F.round(F.greatest(F.lit(rhythm.ELIGIBLE), 0.1 * F.col("mean")), 9))).cast("long").alias("low_days"),
     )
     p = lower_tail(rows, ["key", "span", "ratio"]).withColumn("log_p", F.least(F.lit(0.0), F.col("log_p") + math.log(len(SPANS))))
     return p.groupBy("key").agg(F.min_by(F.struct("span", "ratio", "log_p"), F.struct("log_p", "span")).alias("x")).select("key", "x.*")
