@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from alertloom.llm.common import small, stash, unstash
+from alertloom.llm.common import join_per_key, small, stash, unstash
 from alertloom.llm.components import components
 
 THRESHOLD = 0.9
@@ -42,13 +42,13 @@ def rows_of(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(id, v) of the vectors that can link: not null, not zero, all components finite; v in doubles of length 1."""
-    v = vectors.select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
+    """(vec_id, v) of every row: v in doubles of length 1, or null where the vector can't link: null, empty, zero, or not all finite."""
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     top = F.aggregate("e", F.lit(0.0), lambda a, x: F.greatest(a, F.abs(x)))
     sound = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.filter(F.col("e").isNotNull() & (F.size("e") > 0)).filter(F.coalesce(sound, F.lit(False))).withColumn("top", top).filter("top > 0")
-    v = v.withColumn("e", F.transform("e", lambda x: x / F.col("top")))
-    return v.select("id", F.transform("e", lambda x: x / F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
+    v = v.withColumn("fine", F.coalesce(sound & (F.size("e") > 0), F.lit(False))).withColumn("top", F.when(F.col("fine"), top))
+    v = v.withColumn("e", F.when(F.col("top") > 0, F.transform("e", lambda x: x / F.col("top"))))
+    return v.select("vec_id", F.transform("e", lambda x: x / F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, y: a + y * y))).alias("v"))
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
@@ -331,40 +331,41 @@ def near_dups(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing and are kept. Others link at a cosine
     of THRESHOLD in double precision, rounded to 12 places. Vectors of other lengths than the most frequent one are compared only
-    among their equals. Vectors of equal direction to the last bit are one node with a number of copies. Rows that repeat a vec_id
-    are copies of one vector if equal; each counts as a link to the others. An empty table gives an empty result; other columns,
-    labels among them, are ignored.
+    among their equals. Vectors of equal direction to the last bit are one node with a number of copies, however they are named. Every
+    row is a vector of its own: one that repeats a vec_id links by its own vector, and rows with equal vectors link with one another.
+    component_id is the smallest vec_id of the rows that links reach; rows of null vec_id link like others, count for none, and have a null
+    one among themselves. An empty table gives an empty result; other columns, labels among them, are ignored.
 
     The graph is approximate: links may be missing, none is false. The audit measures recall, and searches with other tables
     follow until it is RECALL and the lists have settled; under LEAST_RECALL there is an error, no result.
     """
-    raw = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    sound = stash(usable(raw))
-    out = [raw.select("vec_id")]
-    parts = []
+    rows = stash(usable(vectors))
+    sound = rows.filter("v is not null")
+    out = rows.filter("v is null").select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("component"))
     for (size,) in sound.select(F.size("v")).distinct().orderBy(F.size("v")).collect():
-        parts.append(_of_length(sound.filter(F.size("v") == size), size))
-    linked = parts[0] if parts else None
-    for p in parts[1:]:
-        linked = linked.unionByName(p)
-    if linked is None:
-        return out[0].select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    linked = linked.groupBy("id").agg(F.max("n").alias("n"), F.min("component").alias("component"))
-    d = out[0].join(linked, F.col("vec_id") == F.col("id"), "left")
-    component = F.coalesce("component", "vec_id")
-    return d.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+        out = out.unionByName(_of_length(sound.filter(F.size("v") == size), size))
+    return out.select("vec_id", F.col("n").alias("n_links"), F.col("component").alias("component_id"), F.col("component").eqNullSafe(F.col("vec_id")).alias("kept"))
+
+
+def nodes_of(sound: DataFrame) -> DataFrame:
+    """(id, v, copies, least) of the distinct vectors of ``sound`` (vec_id, v), written: a key of their own, rows, and smallest vec_id."""
+    members = sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    nodes = stash(members.select(F.xxhash64("v").alias("id"), "v", "copies", "least"))
+    if nodes.select("id").distinct().count() < nodes.count():  # hashes that meet: keys by place in the written table, which don't
+        nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()))
+    return nodes
 
 
 def _of_length(sound: DataFrame, dim: int) -> DataFrame:
-    """(id, n, component) of every usable vector of one length."""
-    members = sound.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    nodes = stash(members.filter("rep is not null").select(F.col("rep").alias("id"), "v", "copies"))
+    """(vec_id, n, component) of every row of ``sound``, vectors of one length."""
+    nodes = nodes_of(sound)
     v, copies = nodes.select("id", "v", F.col("id").alias("g")), nodes.select("id", "copies")
-    n = nodes.count()
-    links, full = search(v, n, dim)
+    links, full = search(v, nodes.count(), dim)
     counts, group = enlarge(full, links, v, copies)
     both = links.union(links.select("b", "a")).toDF("id", "o").join(copies.withColumnRenamed("id", "o"), "o").groupBy("id").agg(F.sum("copies").alias("few"))
-    per = nodes.select("id", "copies").join(both, "id", "left").join(counts, "id", "left").join(group, "id", "left")
-    per = per.select("id", (F.coalesce("n", "few", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    back = sound.join(nodes.select(F.col("id").alias("rep"), "v"), "v").select("id", "rep")
-    return back.join(per.withColumnRenamed("id", "rep"), "rep").select("id", "n", "component")
+    per = nodes.join(both, "id", "left").join(counts, "id", "left").join(group, "id", "left")
+    per = stash(per.select("v", "copies", "least", (F.coalesce("n", "few", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("group")))
+    first = stash(per.groupBy("group").agg(F.min("least").alias("component")))
+    per = stash(per.join(small(first), "group").select("v", "copies", "n", "component"))
+    # rows find their node by the vector; a vector of many rows goes to every task, so that no task gets all of them
+    return join_per_key(sound, per, ["v"], "copies").select("vec_id", "n", "component")

@@ -145,6 +145,15 @@ def test_near_dups_against_all_pairs(spark):
     assert embed_neardup.near_dups(df.limit(0)).count() == 0
 
 
+def test_near_dups_of_rows_without_or_with_one_id(spark):
+    # null ids link like others, and two vectors of one id are two vectors
+    rows = [(1, [1.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (2, [0.0, 1.0, 0.01]), (5, [0.0, 0.01, 1.0]), (None, None), (9, None), (3, [0.0, 1.0, 0.0]), (None, [0.5, 0.5, 0.7]), (None, [0.5, 0.5, 0.71])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in embed_neardup.near_dups(df).select("vec_id", "n_links", "component_id", "kept").collect()), key=str)
+    want = [(1, 1, 1, True), (None, 1, 1, False), (3, 2, 2, False), (3, 2, 2, False), (2, 2, 2, True), (3, 1, 3, True), (5, 1, 3, False), (None, 0, None, True), (9, 0, 9, True), (None, 1, None, True), (None, 1, None, True)]
+    assert got == sorted(want, key=str)
+
+
 def test_near_dups_of_dense_groups_that_only_link_across(spark, rng=np.random.default_rng(4)):
     # pairs of groups of 30, inside at about 0.99, across at about 0.92, beside lone vectors
     x = [rng.standard_normal((40, 24))]
