@@ -348,11 +348,19 @@ def near_dups(vectors: DataFrame) -> DataFrame:
 
 
 def nodes_of(sound: DataFrame) -> DataFrame:
-    """(id, v, copies, least) of the distinct vectors of ``sound`` (vec_id, v), written: a key of their own, rows, and smallest vec_id."""
-    members = sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    nodes = stash(members.select(F.xxhash64("v").alias("id"), "v", "copies", "least"))
-    if nodes.select("id").distinct().count() < nodes.count():  # hashes that meet: keys by place in the written table, which don't
-        nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()))
+    """(id, v, copies, least) of the distinct vectors of ``sound`` (vec_id, v), written: a key, rows, and smallest vec_id. The key is that
+    vec_id (short numbers near one another, which take little room in shuffles) where no other vector has it, else one beyond them all."""
+    members = stash(sound.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    n, distinct, top = members.agg(F.count(F.lit(1)), F.count_distinct("least"), F.max("least")).first()
+    if n == distinct:
+        return members.select(F.col("least").alias("id"), "v", "copies", "least")
+    alone = members.groupBy("least").agg(F.count(F.lit(1)).alias("m")).filter("m = 1 and least is not null").select("least", F.lit(True).alias("alone"))
+    # keys wrap around at the end of the range of longs, where no vec_id is left but by chance; such a chance is looked for
+    beyond = F.expr(f"cast({top or 0} as decimal(20,0)) + 1").cast("decimal(20,0)") + F.monotonically_increasing_id().cast("decimal(20,0)")
+    wrapped = F.when(beyond > 2**63 - 1, beyond - F.lit(2**64).cast("decimal(21,0)")).otherwise(beyond).cast("long")
+    nodes = stash(members.join(alone, "least", "left").select(F.when(F.col("alone"), F.col("least")).otherwise(wrapped).alias("id"), "v", "copies", "least"))
+    if nodes.select("id").distinct().count() < n:
+        raise ValueError("vec_ids fill the range of 64-bit integers: rows of null or repeated ones have no keys left")
     return nodes
 
 
