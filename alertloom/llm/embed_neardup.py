@@ -357,7 +357,7 @@ def nodes_of(sound: DataFrame) -> DataFrame:
     alone = members.groupBy("least").agg(F.count(F.lit(1)).alias("m")).filter("m = 1 and least is not null").select("least", F.lit(True).alias("alone"))
     # keys wrap around at the end of the range of longs, where no vec_id is left but by chance; such a chance is looked for
     beyond = F.expr(f"cast({top or 0} as decimal(20,0)) + 1").cast("decimal(20,0)") + F.monotonically_increasing_id().cast("decimal(20,0)")
-    wrapped = F.when(beyond > 2**63 - 1, beyond - F.lit(2**64).cast("decimal(21,0)")).otherwise(beyond).cast("long")
+    wrapped = F.when(beyond > 2**63 - 1, beyond - F.lit(str(2**64)).cast("decimal(21,0)")).otherwise(beyond).cast("long")
     nodes = stash(members.join(alone, "least", "left").select(F.when(F.col("alone"), F.col("least")).otherwise(wrapped).alias("id"), "v", "copies", "least"))
     if nodes.select("id").distinct().count() < n:
         raise ValueError("vec_ids fill the range of 64-bit integers: rows of null or repeated ones have no keys left")
