@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from alertloom.llm import chat_format, license_scan, mixing
+from alertloom.llm import chat_format, license_scan, license_table, mixing
 
 W = r"[^\x20\x09-\x0D]+"
 SPACE = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -48,8 +48,12 @@ def _spelled(text: str) -> str:
 
 _KNOWN = ", ".join(f"('{_q(n)}', '{_q(t)}')" for n, t in [*license_scan.LICENSES.items(), *((b, a) for a, b in license_scan.NOTICES.items())])
 _PLAIN = "sha256(trim(" + _spelled(r"regexp_replace(t, '[ \n]+', ' ', 'g')") + "))"
+_LINES = ", ".join(f"('{_q(x)}')" for x in license_table.IDENTIFIERS)
+_LONG = ", ".join(f"('{_q(n)}', '{g}')" for n, g in license_table.DIGESTS)
 OP3 = f"""
-WITH known AS (SELECT {_PLAIN} AS digest, min(license) AS license FROM (SELECT license, {_canonical("text")} AS t FROM (VALUES {_KNOWN}) AS x(license, text)) GROUP BY ALL),
+WITH texts AS (SELECT license, text, 0 AS rank FROM (VALUES {_KNOWN}) AS x(license, text) UNION ALL SELECT license, 'SPDX-License-Identifier: ' || license, 1 FROM (VALUES {_LINES}) AS y(license)),
+digests AS (SELECT license, rank, {_PLAIN} AS digest FROM (SELECT license, rank, {_canonical("text")} AS t FROM texts) UNION ALL SELECT license, 1, digest FROM (VALUES {_LONG}) AS z(license, digest)),
+known AS (SELECT digest, arg_min(license, (rank, license)) AS license FROM digests GROUP BY digest),
 d AS (SELECT doc_id, {_canonical("text")} AS t FROM documents),
 lines AS (SELECT doc_id, sha256(trim(unnest(string_split({_spelled("t")}, chr(10))))) AS digest FROM d),
 named AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS line_licenses FROM lines JOIN known USING (digest) WHERE digest <> sha256('') GROUP BY doc_id)

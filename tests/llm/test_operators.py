@@ -200,6 +200,28 @@ def test_license_scan(spark, docs):
     assert len({r["digest"] for r in plain(license_scan.known(spark))}) >= 12
 
 
+def test_license_scan_against_its_sql(spark, docs, tmp_path):
+    # every known text and notice, lines of many identifiers, odd rows; the SQL has the same digests
+    import duckdb
+
+    from alertloom.llm.license_table import IDENTIFIERS
+    from alertloom.llm.sql import SQL
+
+    texts = [*license_scan.LICENSES.values(), *license_scan.NOTICES, *[f"# x\nSPDX-License-Identifier: {i}" for i in IDENTIFIERS[::7]], license_scan.MIT.upper(), "", None, "SPDX-License-Identifier: No-Such"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = license_scan.scan(df).toPandas()
+    c = duckdb.connect()
+    c.register("documents", df.toPandas())
+    want = c.sql(SQL["op3_license_scan"]).fetchall()
+    cols = ["doc_id", "digest", "license", "is_license", "line_licenses"]
+    assert sorted(map(str, want)) == sorted(str(tuple(None if v is None or v != v else v for v in r)) for r in got[cols].itertuples(index=False))
+    assert sum(r[3] for r in want) >= len(license_scan.LICENSES) + 1 and sum(r[4] is not None for r in want) > 90
+
+
+def test_license_scan_of_no_documents(no_docs):
+    assert license_scan.scan(no_docs).collect() == []
+
+
 def test_long_licenses_and_all_identifiers(spark):
     place = "/usr/share/common-licenses/"
     names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
