@@ -18,11 +18,10 @@ ALARM_BUDGET = 0.05
 
 def hourly_cube(a: DataFrame) -> DataFrame:
     """Counts per hour at five levels (tenant, log_source, agent, agent_log_source, rule) as grouping sets of one pass."""
+    h, ls, src, rule = F.col("h"), F.col("ls"), F.col("src"), F.col("rule_id")
     t = a.select(hour(F.col("ts")).alias("h"), "ls", "src", "rule_id")
-    t.createOrReplaceTempView("cube_input")
-    c = a.sparkSession.sql("""
-        SELECT h, ls, src, rule_id, grouping(ls) AS g_ls, grouping(src) AS g_src, grouping(rule_id) AS g_rule, count(*) AS n
-        FROM cube_input GROUP BY GROUPING SETS ((h), (h, ls), (h, src), (h, src, ls), (h, rule_id))""")
+    c = t.groupingSets([[h], [h, ls], [h, src], [h, src, ls], [h, rule]], h, ls, src, rule)
+    c = c.agg(F.grouping("ls").alias("g_ls"), F.grouping("src").alias("g_src"), F.grouping("rule_id").alias("g_rule"), F.count(F.lit(1)).alias("n"))
     level = F.when(F.col("g_rule") == 0, "rule").when((F.col("g_src") == 0) & (F.col("g_ls") == 0), "agent_log_source").when(F.col("g_src") == 0, "agent").when(F.col("g_ls") == 0, "log_source").otherwise("tenant")
     key1 = F.when(F.col("g_rule") == 0, F.col("rule_id")).when(F.col("g_src") == 0, F.col("src")).when(F.col("g_ls") == 0, F.col("ls"))
     c = c.select(level.alias("level"), key1.alias("key1"), F.when((F.col("g_src") == 0) & (F.col("g_ls") == 0), F.col("ls")).alias("key2"), "h", "n")
