@@ -1,4 +1,4 @@
-"""Root causes over the levels of the cube, on losses planted in the events. With its SQL."""
+"""Root causes over the levels of the cube, on losses planted in the events, and findings watched over days. Each with its SQL."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from alertloom.functions.cuts import checkpointed
 from alertloom.operators import hierarchy
 from alertloom.operators.alerts import alerts
 from alertloom.plans.noise_queries import WITH
+from alertloom.streaming import watch
 
 QUERIES: dict = {}
 #: Days of the past and of the end that are held against each other, and the least expectation of an anomaly.
@@ -70,3 +71,21 @@ p2 AS (SELECT p1.agent, p1.source, p1.status, CASE WHEN p1."by" IS NOT NULL THEN
 u AS (SELECT 'agent' AS level, agent, NULL AS source, status, "by" FROM a1 UNION ALL SELECT 'source', NULL, source, status, "by" FROM s1 UNION ALL SELECT 'pair', agent, source, status, "by" FROM p2)
 SELECT * FROM u UNION ALL SELECT 'tenant', NULL, NULL, status, CASE WHEN status = 'silent' OR NOT EXISTS (SELECT 1 FROM u WHERE "by" IN ('itself', 'all')) THEN 'itself' ELSE 'below' END FROM x WHERE level = 'tenant'"""
 QUERIES["root_causes"] = (root_causes, SQL)
+
+
+def watched_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Transitions of a finding for each host over its days, forgotten after two days and more without a run; what the stream with timers gives."""
+    log = alerts(spark, sf).groupBy(F.col("src").alias("fp"), F.floor(F.unix_seconds("ts") / 86400).alias("run")).agg(F.max("ts").alias("ts"), F.bool_or(F.col("lvl") >= 10).alias("present"))
+    return watch.replay(log, FORGET)
+
+
+FORGET = 2 * 86400
+WATCHED = f"""{WITH.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS (SELECT src AS fp, d AS run, max(s) AS at_s, bool_or(lvl >= 10) AS p FROM a GROUP BY ALL), g AS (SELECT *, at_s - lag(at_s) OVER (PARTITION BY fp ORDER BY run) AS gap FROM r),
+q AS (SELECT *, count(*) FILTER (gap > {FORGET}) OVER (PARTITION BY fp ORDER BY run) AS part FROM g), o AS (SELECT *, row_number() OVER (PARTITION BY fp, part ORDER BY run) AS i FROM q),
+st AS (SELECT fp, part, 0::BIGINT AS i, 'none' AS state, 0 AS bad, 0 AS good, NULL::VARCHAR AS event, NULL::BIGINT AS run FROM (SELECT DISTINCT fp, part FROM o) UNION ALL
+  SELECT o.fp, o.part, o.i, CASE WHEN p THEN CASE WHEN state = 'none' THEN 'new' WHEN state = 'new' AND bad >= 1 THEN 'open' WHEN state = 'resolved' AND bad >= 1 THEN 'regressed' ELSE state END WHEN state = 'new' THEN 'none' WHEN state IN ('open', 'regressed') AND good >= 1 THEN 'resolved' ELSE state END,
+    CASE WHEN p THEN bad + 1 ELSE 0 END, CASE WHEN p THEN 0 ELSE good + 1 END, CASE WHEN p THEN CASE WHEN state = 'none' THEN 'new' WHEN state = 'new' AND bad >= 1 THEN 'opened' WHEN state = 'resolved' AND bad >= 1 THEN 'regressed' END WHEN state IN ('open', 'regressed') AND good >= 1 THEN 'resolved' END, o.run
+  FROM st JOIN o ON o.fp = st.fp AND o.part = st.part AND o.i = st.i + 1)
+SELECT fp, run, event, state FROM st WHERE event IS NOT NULL
+UNION ALL SELECT fp, run, 'forgotten', state FROM (SELECT st.*, at_s, max(st.i) OVER (PARTITION BY st.fp, st.part) AS last_i, max(st.part) OVER (PARTITION BY st.fp) AS last_part, max(at_s) OVER () AS end_s FROM st JOIN o USING (fp, part, i)) WHERE i = last_i AND (part < last_part OR end_s - at_s > {FORGET})"""
+QUERIES["watched_findings"] = (watched_findings, WATCHED)
