@@ -171,6 +171,16 @@ def pieces(places: DataFrame) -> DataFrame:
     return d.select("rank", "start", "block", (lo - F.col("start")).alias("first"), (F.least((F.col("block") + 1) * BLOCK, F.col("start") + F.col("size")) - lo).alias("n"))
 
 
+def draw(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, drawn pieces (rank, start, epoch, block, first, n, shard)), as ``mix`` has them, but for ``taken``.
+
+    What is drawn is a plan, not a table: it is made again for every use.
+    """
+    places, sources = prepare(docs)
+    # Spark takes the slots, which come from a few rows, for a small table; they grow with the words
+    return places, slots(sources).hint("merge").join(pieces(places), ["rank", "block"])
+
+
 def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(places with ``taken`` and ``text_hash``, drawn pieces (rank, start, epoch, block, first, n, shard)).
 
@@ -178,9 +188,7 @@ def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     is allowed. Rows that repeat a doc_id are documents of their own. An empty table gives empty results. Other columns are
     ignored. Every source's taken words are within one block of its target, and no document is taken more than three times.
     """
-    places, sources = prepare(docs)
-    # Spark takes the slots, which come from a few rows, for a small table; they grow with the words
-    drawn = slots(sources).hint("merge").join(pieces(places), ["rank", "block"])
+    places, drawn = draw(docs)
     taken = drawn.groupBy("rank", "start").agg(F.sum("n").alias("taken"))
     d = places.join(taken, ["rank", "start"], "left")
     return d.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "rank", "start", "text_hash"), drawn

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from tests.llm.test_operators import LOW, WORD, groups, plain
 
 
@@ -99,6 +100,19 @@ def test_mixed_rows_against_what_was_taken(spark, sf):
     assert +got == +per
 
 
+def test_slots_are_drawn_once(spark, sf, monkeypatch):
+    df, _ = repeated(spark)
+    drawn, made, slots = spark.sparkContext.accumulator(0), [], corpus_pipeline.mixing.slots
+
+    def counted(sources):
+        made.append(slots(sources))
+        return made[0].filter(F.udf(lambda x: drawn.add(1) or True, "boolean")("slot"))
+
+    monkeypatch.setattr(corpus_pipeline.mixing, "slots", counted)
+    assert corpus_pipeline.mix_sources(spark, df, sf).count() > 0
+    assert drawn.value == made[0].count() > 0
+
+
 def test_stages_on_an_empty_table(spark, no_docs, sf):
     d = no_docs.select(corpus_pipeline.COLUMNS)
     for _, stage in corpus_pipeline.STAGES:
