@@ -33,9 +33,8 @@ MOST_GAP_H, LEAST_SIGMA = 60 * 24, 0.05
 NODES = (0.342901327223705, 1.036610829789514, 1.756683649299882, 2.532731674232790, 3.436159118837738)
 WEIGHTS = (0.610862633735326, 0.240138611082315, 0.033874394455481, 0.001343645746781, 0.000007640432855)
 VARIANCES = ((0.02, 0.04), (0.12, 0.16), (0.3, 0.2), (0.5, 0.2), (0.7, 0.2), (0.9, 0.2))
-# Least expected events of a drop's window and effective hours they spread over, hours of it at most, ratio of a drop, and
-# mean and count from which the tail has a closed form.
-LEAST_EXPECTED, SPREAD_H, MOST_DROP_H, DROP_RATIO, LARGE_MEAN, LARGE_COUNT = 20.0, 6.0, 168, 0.3, 200.0, 20.0
+# Least expected events of a drop's window and effective hours they spread over, hours of it at most, and ratio of a drop.
+LEAST_EXPECTED, SPREAD_H, MOST_DROP_H, DROP_RATIO = 20.0, 6.0, 168, 0.3
 # Spans and reference of a decline in days, least days and median of the reference, and the ratio of seven days.
 SPANS, REFERENCE_DAYS, LEAST_REFERENCE, LEAST_MEDIAN, DECLINE_RATIO = (2, 3, 4, 5, 6, 7), 28, 7, 5.0, 0.5
 BUDGET = 0.05
@@ -241,8 +240,7 @@ def lower_tail(d: DataFrame, by: list[str]) -> DataFrame:
     """(by, log_p) of rows (by, observed, mean, size, sigma, dof, pi, low_days): the chance of so few events.
 
     The window may have up to low_days empty days, each with chance pi; sigma is the spread of a multiplier of the mean, itself known from
-    dof days. What is mixed becomes rows: days empty, variances, nodes; a row is one tail, summed up by ``by``. Large counts have a
-    closed form.
+    dof days. What is mixed becomes rows: days empty, variances, nodes; a row is one tail, summed up by ``by``, however large its count.
     """
     days = F.when((F.col("pi") > 0) & (F.col("low_days") > 0), F.col("low_days")).otherwise(0)
     d = d.withColumn("m", days).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long"))))
@@ -259,14 +257,11 @@ def lower_tail(d: DataFrame, by: list[str]) -> DataFrame:
 
     once = F.array(F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("sg")))
     several = F.when(F.col("dof") > 0, F.array(*[variance(p, w) for p, w in VARIANCES])).otherwise(F.array(F.struct(F.lit(0.0).alias("w"), F.col("sigma").alias("sg"))))
-    d = d.withColumn("v", F.explode(F.when(wide, several).otherwise(once))).withColumn("large", wide & (F.col("mean") >= LARGE_MEAN) & (F.col("observed") >= LARGE_COUNT))
+    d = d.withColumn("v", F.explode(F.when(wide, several).otherwise(once)))
     node = lambda x, w: F.struct(F.lit(x).alias("x"), F.lit(w).alias("w"))
-    d = d.withColumn("g", F.explode(F.when(wide & ~F.col("large"), F.array(*[node(x, w) for x, w in _doubled()])).otherwise(F.array(node(0.0, 0.0)))))
-    noise = F.log1p(1 / F.col("mean") + F.coalesce(1 / F.col("size"), F.lit(0.0)))
-    var = F.col("v.sg") * F.col("v.sg") + noise
-    closed = tails.log_normal_cdf((F.log((F.col("observed") + 0.5) / F.col("mean")) + var / 2) / F.sqrt(var))
-    mean = F.col("mean") * F.exp(F.col("v.sg") * F.col("g.x") - F.when(F.col("large"), F.lit(0.0)).otherwise(F.col("v.sg") * F.col("v.sg") / 2))
-    d = d.withColumn("mu", mean).withColumn("log_p", F.when(F.col("large"), closed).otherwise(tails.log_cdf(F.col("observed"), F.col("mu"), F.col("size"))))
+    d = d.withColumn("g", F.explode(F.when(wide, F.array(*[node(x, w) for x, w in _doubled()])).otherwise(F.array(node(0.0, 0.0)))))
+    mean = F.col("mean") * F.exp(F.col("v.sg") * F.col("g.x") - F.col("v.sg") * F.col("v.sg") / 2)
+    d = d.withColumn("mu", mean).withColumn("log_p", tails.log_cdf(F.col("observed"), F.col("mu"), F.col("size")))
     return d.groupBy(*by).agg(F.least(F.lit(0.0), tails.log_sum(F.col("lw") + F.col("v.w") + F.col("g.w") + F.col("log_p"))).alias("log_p"))
 
 

@@ -29,6 +29,31 @@ def test_tails_in_columns(spark):
     assert ask(spark, [(g,) for g in (0.3, 1.0, 2.5, 100.0)], tails.log_gamma(F.col("g")), "g double") == pytest.approx([math.lgamma(g) for g in (0.3, 1.0, 2.5, 100.0)], rel=1e-10, abs=1e-10)
 
 
+def test_tails_of_large_counts_in_columns(spark):
+    rows = [(x, x * by, k) for x in (5_000, 40_000) for by in (0.3, 0.97, 1.0, 1.05, 4.0) for k in (0.4, 30.0, 2000.0, None)]
+    got = ask(spark, rows, tails.log_cdf(F.col("x"), F.col("mu"), F.col("k")))
+    for (x, mu, k), v in zip(rows, got, strict=True):
+        assert v == pytest.approx(negbin.log_cdf(x, mu, math.inf if k is None else k), rel=1e-8, abs=1e-8)
+
+
+def test_lower_tail_of_large_counts_is_the_whole_mixture(spark):
+    """Days empty, variances and nodes of a count of any size, summed up one by one."""
+    rows = [(1, 110, 830.0, 40.0, 0.1, 20.0, 0.0, 0), (2, 6_000, 45_000.0, 60.0, 0.2, 27.0, 0.1, 2), (3, 25, 210.0, 15.0, 0.3, 9.0, 0.05, 1)]
+    d = spark.createDataFrame(rows, "id int, observed long, mean double, size double, sigma double, dof double, pi double, low_days long")
+    got = {r["id"]: r["log_p"] for r in model.lower_tail(d, ["id"]).collect()}
+    for i, observed, mean, size, sigma, dof, pi, m in rows:
+        total = -math.inf
+        for j in range(m + 1):
+            share = (m - j) / m if m else 1.0
+            days = math.log(math.comb(m, j)) + j * math.log(pi) + (m - j) * math.log1p(-pi) if m else 0.0
+            for p, w in model.VARIANCES if share else [(0.5, 1.0)]:
+                c = 2 / (9 * dof)
+                sg = sigma / math.sqrt((1 - c + tails.normal_quantile(p) * math.sqrt(c)) ** 3)
+                for x, lw in model._doubled() if share else [(0.0, 0.0)]:
+                    total = np.logaddexp(total, days + math.log(w) + lw + negbin.log_cdf(observed, mean * share * math.exp(sg * x - sg * sg / 2), size * share or size))
+        assert got[i] == pytest.approx(total, rel=1e-7)
+
+
 def world(spark, keys: dict[str, np.ndarray], days: int):
     """Sparse counts and the spine of hourly series from START on."""
     rows = [(k, START + int(h), int(n[h])) for k, n in keys.items() for h in np.flatnonzero(n)]
