@@ -34,3 +34,10 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def rounded(c: Column, places: int) -> Column:
+    """``c`` as DuckDB rounds a double: scaled as a double and then to the nearest whole, halves away from zero. Spark's own rounding goes by the
+    decimal text of ``c``, so that ties differ."""
+    scaled = c * 10.0**places
+    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / 10.0**places).otherwise(c)

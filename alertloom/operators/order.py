@@ -1,4 +1,4 @@
-"""Row numbers of a total order without one window over all rows."""
+"""Row numbers of a total order without one window over all rows, and means whose terms have an order."""
 
 from __future__ import annotations
 
@@ -33,3 +33,14 @@ def least_from_above(d: DataFrame, order: list[Column], value: Column, least: st
     per = parts.groupBy("part").agg(F.min("v").alias("m"))
     after = per.select("part", F.min("m").over(Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)).alias("after"))
     return parts.withColumn("own", F.min("v").over(w)).join(F.broadcast(after), "part").withColumn(least, F.least("own", F.coalesce("after", "own"))).drop("part", "v", "own", "after")
+
+
+def means(d: DataFrame, by: list[str], order: list[str], value: str, mean: str, *more: Column) -> DataFrame:
+    """``d`` by ``by``: ``mean``, of ``value`` added up row by row in ``order``, and the aggregates ``more``.
+
+    The last bits of a sum of doubles depend on the order of its terms: of partial sums, on how the rows were dealt. Where a mean is rounded
+    or compared they decide ties.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    d = d.withColumn("so_far", F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("nth", F.row_number().over(w))
+    return d.groupBy(*by).agg((F.max_by("so_far", "nth") / F.count(value)).alias(mean), *more)

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from alertloom.operators import kinds, rhythm
-from alertloom.operators.alerts import alerts, r6, table
+from alertloom.operators.alerts import alerts, r6, rounded, table
 from alertloom.operators.incidents import rank
 from alertloom.operators.noise import day, hour
-from alertloom.operators.order import numbered
+from alertloom.operators.order import means, numbered
 from alertloom.plans.noise_queries import WITH
 
 QUERIES: dict = {}
@@ -195,8 +195,9 @@ def scope_verdicts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT kind, subject, count(*) OVER w AS place FROM g WINDOW w AS (ORDER BY r DESC, score DESC, kind, subject ROWS UNBOUNDED PRECEDING)""")
 def sorted_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Findings in the order of a report: gravest, then highest score, kind and subject. Places come from a sort by ranges and the ranges'
-    sizes, not from one window over all."""
-    a = alerts(spark, sf).groupBy(F.col("rule_id").alias("kind"), F.col("src").alias("subject")).agg(F.max("lvl").alias("lvl"), F.round(F.avg("value"), 3).alias("score"))
+    sizes, not from one window over all. Scores are means in the order of the events, rounded as the SQL rounds them."""
+    a = alerts(spark, sf).select(F.col("rule_id").alias("kind"), F.col("src").alias("subject"), "event_id", "ts", "value", "lvl")
+    a = means(a, ["kind", "subject"], ["event_id", "ts", "value"], "value", "mean", F.max("lvl").alias("lvl")).withColumn("score", rounded(F.col("mean"), 3))
     name = F.when(F.col("lvl") >= 13, "critical").when(F.col("lvl") >= 10, "high").when(F.col("lvl") >= 7, "medium").when(F.col("lvl") >= 5, "low").otherwise("info")
     f = a.withColumn("severity", name).withColumn("r", rank("severity"))
-    return numbered(f, [F.desc("r"), F.desc("score"), F.col("kind"), F.col("subject")], "place").select("kind", "subject", "place")
+    return numbered(f, [F.desc("r"), F.desc("score"), F.asc_nulls_last("kind"), F.asc_nulls_last("subject")], "place").select("kind", "subject", "place")
