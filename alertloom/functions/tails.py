@@ -40,19 +40,20 @@ def log_cdf(x: Column, mu: Column, k: Column) -> Column:
     either = lambda one, other: F.when(low, one).otherwise(other)
     depth = F.ceil(F.lit(LEVELS) + F.sqrt(x))
     # the parameters are bound once, not worked out again on every level
-    given = F.struct(either(size, x + 1).alias("a"), either(x + 1, size).alias("b"), either(p, mu / (size + mu)).alias("p"), (either(mu - x - 1, x + 1 - mu) * p).alias("l"), F.greatest(F.lit(1).cast("long"), either(F.least(depth, x.cast("long")), depth)).alias("depth"))
+    given = F.struct(
+        low.alias("low"), either(size, x + 1).alias("a"), either(x + 1, size).alias("b"), either(p, mu / (size + mu)).alias("p"), (either(mu - x - 1, x + 1 - mu) * p).alias("l"),
+        F.greatest(F.lit(1).cast("long"), either(F.least(depth, x.cast("long")), depth)).alias("depth"), (log_pmf(x, mu, k) + F.log(mu * (size + x) / (size + mu))).alias("front"),
+    )
 
-    def fraction(g: Column) -> Column:
+    def tail(g: Column) -> Column:
         a, b, q = g["a"], g["b"], g["p"]
         beta = lambda n: n + n * (b - n) * q / (a + F.abs(2 * n - 1)) + (a + n) * (g["l"] + 1 + n * (2 - q)) / (a + 2 * n + 1)
         alpha = lambda n: n * (b - n) * (a + n - 1) / (a + 2 * n - 1) * (a + b + n - 1) / (a + 2 * n - 1) * q * q
         step = lambda f, n: beta(n - 1) + alpha(n) / F.when(f == 0, 1e-300).otherwise(f)
-        return F.aggregate(F.sequence(g["depth"], F.lit(1).cast("long"), F.lit(-1).cast("long")), beta(g["depth"].cast("double")), lambda f, n: step(f, n.cast("double")))
+        end = lambda f: F.when(g["low"], g["front"] - F.log(f)).otherwise(F.log1p(-F.least(F.lit(1 - 2.0**-53), F.exp(g["front"]) / f)))
+        return F.aggregate(F.sequence(g["depth"], F.lit(1).cast("long"), F.lit(-1).cast("long")), beta(g["depth"].cast("double")), lambda f, n: step(f, n.cast("double")), end)
 
-    f = F.get(F.transform(F.array(given), fraction), 0)
-    front = log_pmf(x, mu, k) + F.log(mu * (size + x) / (size + mu))
-    tail = either(front - F.log(f), F.log1p(-F.least(F.lit(1 - 2.0**-53), F.exp(front) / f)))
-    return F.when(mu <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.0), tail))
+    return F.when(mu <= 0, F.lit(0.0)).otherwise(F.least(F.lit(0.0), F.get(F.transform(F.array(given), tail), 0)))
 
 
 def log_sum(c: Column) -> Column:

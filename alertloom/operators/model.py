@@ -158,6 +158,7 @@ def fit(counts: DataFrame, spine: DataFrame, end: int) -> tuple[DataFrame, DataF
     m = m.withColumn("cv2", F.when(F.col("log_sigma") > 0, F.expm1(F.col("log_sigma") * F.col("log_sigma"))).otherwise(1 / _size(F.col("num_d"), F.col("den_d"))) * F.col("inflate"))
     m = m.withColumn("day_sigma", F.sqrt(F.log1p("cv2"))).withColumn("k_day", F.greatest(F.lit(K_MIN), F.least(F.lit(K_MAX), 1 / F.greatest(F.col("cv2"), F.lit(1 / K_MAX)))))
     m = m.withColumn("n_eff", F.col("n_days") / (1 / F.col("scale") + 1 / F.col("k_day"))).withColumn("occ", F.col("n_days") * 3.0 / F.when(F.col("weekly"), 7.0).otherwise(1.0))
+    m = checkpointed(m)  # a row for a key; duty and days off read it again for each rate
     m = m.join(duty_and_days_off(base, m.select("key", "hours", "business", "n")), "key")
     ends = days.groupBy("key").agg(F.first("key_last").alias("key_last"))
     keys = checkpointed(m.join(ends, "key").select("key", "key_last", "n_days", "n", "scale", "k", "day_sigma", "k_day", "n_eff", "duty", "pi_off", "pi_low", "occ", "peers"))
@@ -176,6 +177,7 @@ def duty_and_days_off(base: DataFrame, m: DataFrame) -> DataFrame:
     works = F.when(F.col("week").isNull() | F.col("ends").isNull(), "unknown").when(F.col("ends") >= 0.1 * F.col("week"), "weekends").otherwise("weekdays")
     kind = F.when(F.col("active") >= rhythm.ALWAYS_ON * F.col("hours"), "always_on").when((F.col("active_days") >= rhythm.WORKING * F.col("all_days")) & (F.col("business") >= rhythm.BUSINESS * F.col("n")), "business_hours").otherwise("intermittent")
     d = d.withColumn("peers", works).withColumn("duty", kind).withColumn("tier", F.lit("standard"))
+    d = checkpointed(d)
     rate = lambda c, name: habits.day_rates(d.select("key", "tier", "peers", F.col(c).alias("events"), "days"), ["tier", "peers"]).select("key", F.col("rate").alias(name))
     d = d.join(rate("off", "pi_off"), "key").join(rate("low", "pi_low"), "key")
     never = lambda c: F.when(F.col("duty") == "always_on", 0.0).otherwise(F.col(c))
@@ -345,7 +347,8 @@ def declined(days: DataFrame, keys: DataFrame) -> DataFrame:
         m = F.col("nd") - one
         return F.when(m <= 0, base).otherwise(m / (m + WEEKDAY_DAYS) * (F.col("sd") - out) / m + WEEKDAY_DAYS / (m + WEEKDAY_DAYS) * base)
 
-    d = d.withColumn("expected", F.when(F.col("ref"), expect(F.col("n"), F.lit(1))).otherwise(expect(F.lit(0.0), F.lit(0))))
+    # read a dozen times below: at most REFERENCE_DAYS and a week of rows for a key
+    d = checkpointed(d.withColumn("expected", F.when(F.col("ref"), expect(F.col("n"), F.lit(1))).otherwise(expect(F.lit(0.0), F.lit(0)))))
     past = d.filter("ref")
     f = past.groupBy("key").agg(F.percentile("n", 0.5).alias("usual"), F.count(F.lit(1)).alias("ref_days"), F.sum(F.col("expected") * F.col("expected")).alias("num"), F.sum((F.col("n") - F.col("expected")) * (F.col("n") - F.col("expected")) - F.col("n")).alias("den"))
     spread = day_spread(past.select("key", "expected", F.col("n").alias("total")), "key")
@@ -373,6 +376,8 @@ def alarms(counts: DataFrame, spine: DataFrame, end: int, budget: float = BUDGET
     x = dropped(counts, s, keys, spine, end).withColumnsRenamed({"log_p": "drop_log_p", "effect": "drop_effect"})
     y = declined(days, keys).withColumnsRenamed({"log_p": "decline_log_p", "ratio": "decline_ratio"})
     level = keys.agg(F.log(F.least(F.lit(0.5), F.lit(budget) / F.greatest(F.lit(1), F.count(F.lit(1))))).alias("level"))
+    # each part ends in a table of one row for a key: in one plan they take more memory of the driver than their rows do
+    g, x, y = checkpointed(g), checkpointed(x), checkpointed(y)
     d = g.join(x, "key", "left").join(y, "key", "left").join(F.broadcast(level))
     quiet = F.coalesce((F.col("observed") <= 0) | (F.col("gap_h") >= F.col("hours") / 2) | (F.col("gap_h") >= 0.5 * (F.lit(end) - F.col("onset_h"))), F.lit(True))
     below = lambda c: F.coalesce(F.col(c) < F.col("level"), F.lit(False))
